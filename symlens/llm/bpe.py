@@ -3,6 +3,9 @@
 The library works on characters, so each byte is shown as a printable character
 (the usual byte table) and a rank file becomes a vocabulary and merges: every
 way to cut a token into two tokens of lower rank is a merge of that token's rank.
+The text is cut by the pattern first and each distinct piece is encoded once a
+worker (its memo keeps the latest), as most pieces repeat. Encoding with
+offsets runs the library's whole chain instead.
 Decoding looks ids up in a table of bytes and joins them, so a character whose
 bytes are split over tokens comes back whole.
 """
@@ -13,6 +16,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +26,10 @@ from symlens.llm.work import id_value, rows_of
 
 #: Bytes of text handed to the library at a time; bounds a worker's memory.
 BATCH_BYTES = 1 << 20
+#: Distinct pieces, and words with what stands around them, that a worker remembers before it starts anew.
+MEMO_PIECES = 150_000
+#: The usual cut of byte-level BPE; white space is Unicode's property, as in the library's own expressions.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
 
 def byte_table() -> list[str]:
@@ -47,10 +55,55 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return [(a, b) for *_, a, b in sorted(out)]
 
 
+class _Kept(dict):
+    """Remembers what ``made`` gives, at most the last ``MEMO_PIECES`` twice; long keys aren't kept."""
+
+    def __init__(self):
+        super().__init__()
+        self.last: dict = {}
+
+    def __missing__(self, key: str):
+        found = self.last[key] if key in self.last else self.made(key)
+        if len(key) < 64:
+            if len(self) >= MEMO_PIECES:
+                self.last = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+class _Memo(_Kept):
+    """Piece to ids, by the library's model."""
+
+    def __init__(self, model, shown: dict[int, str]):
+        super().__init__()
+        self.model, self.shown = model, shown
+
+    def made(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
+
+
+class _Words(_Kept):
+    """What stands between two single spaces, with the space before it, to ids.
+
+    A piece holds a space only as its first character or among white space, so
+    a text may be cut before each space between two other characters. None where
+    a space has white space or an end of the text beside it.
+    """
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def made(self, word: str) -> list[int] | None:
+        return None if not word or word[0].isspace() or word[-1].isspace() else self.ids_of(" " + word)
+
+
 class ByteBPE:
-    """Encoder and decoder for one rank file."""
+    """Encoder and decoder for one rank file; ``pattern`` cuts texts as the ``regex`` library reads it."""
 
     def __init__(self, path: str, pattern: str | None = None):
+        import regex
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         ranks, table = read_ranks(path), byte_table()
@@ -61,6 +114,9 @@ class ByteBPE:
         if pattern is not None:
             level = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), level])
         self.tokenizer.pre_tokenizer = level
+        self.pieces = regex.compile(pattern or PIECES).findall
+        self.memo = _Memo(self.tokenizer.model, dict(enumerate(table)))
+        self.words = _Words(self._ids) if pattern is None else None
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -68,7 +124,17 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, without special tokens."""
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self._ids(t) if self.words is None else self._spaced(t) for t in texts]
+
+    def _ids(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.pieces(text))))
+
+    def _spaced(self, text: str) -> list[int]:
+        first, *rest = text.split(" ")
+        found = list(map(self.words.__getitem__, rest))
+        if None in found or rest and (not first or first[-1].isspace()):
+            return self._ids(text)
+        return self._ids(first) + list(chain.from_iterable(found))
 
     def encode_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         """Ids and character offsets [start, end) of each token; parts of one character share its offsets."""
