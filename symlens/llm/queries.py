@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from symlens.llm.bpe import bpe_digests
+from symlens.llm.brown import brown_scores
+from symlens.llm.compression import fold_of, quality_scores, train
 from symlens.llm.exact_dedup import exact_dedup
 from symlens.llm.quality_rules import quality_rules
 from symlens.llm.simhash import simhash_dedup
@@ -32,6 +35,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_documents(spark, sf_dir), vocabulary())
 
 
+def op3_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality_scores(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_documents(spark, sf_dir))
 
@@ -40,6 +48,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir), texts=False).drop("cleaned")
 
 
+def op10_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold_of("doc_id") == 1, F.lit(False))
+    scored = brown_scores(_documents(spark, sf_dir), ~held_out)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
