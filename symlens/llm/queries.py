@@ -14,6 +14,7 @@ from symlens.llm.exact_dedup import exact_dedup
 from symlens.llm.quality_rules import quality_rules
 from symlens.llm.simhash import simhash_dedup
 from symlens.llm.sql import ORACLES
+from symlens.llm.substring_dedup import substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_documents(spark, sf_dir), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir), texts=False).drop("cleaned")
 

@@ -17,4 +17,27 @@ FROM d
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT}
+#: Windows of 20 words whose sequence also starts earlier are removed.
+SUBSTRING = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, len(w) AS n, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20
+), g AS (
+  SELECT s.doc_id, s.p, sha256(array_to_string(d.w[s.p : s.p + 19], ' ')) AS h FROM s JOIN d USING (doc_id)
+), m AS (
+  SELECT doc_id, p FROM g QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM m
+), r AS (
+  SELECT doc_id, count(*) AS n_removed FROM c GROUP BY doc_id
+), x AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), k AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.i = c.i GROUP BY x.doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(r.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT, "op6_substring_dedup": SUBSTRING}
