@@ -11,6 +11,7 @@ from symlens.llm.bpe import bpe_digests
 from symlens.llm.brown import brown_scores
 from symlens.llm.compression import fold_of, quality_scores, train
 from symlens.llm.exact_dedup import exact_dedup
+from symlens.llm.licenses import license_scan
 from symlens.llm.quality_rules import quality_rules
 from symlens.llm.simhash import simhash_dedup
 from symlens.llm.sql import ORACLES
@@ -49,6 +50,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_documents(spark, sf_dir), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir), texts=False).drop("cleaned")
 
