@@ -12,6 +12,8 @@ from symlens.llm.brown import brown_scores
 from symlens.llm.compression import fold_of, quality_scores, train
 from symlens.llm.exact_dedup import exact_dedup
 from symlens.llm.licenses import license_scan
+from symlens.llm.line_dedup import line_dedup
+from symlens.llm.mixing import mix_sources
 from symlens.llm.quality_rules import quality_rules
 from symlens.llm.simhash import simhash_dedup
 from symlens.llm.sql import ORACLES
@@ -46,6 +48,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_documents(spark, sf_dir))
 
 
+#: Target shares: the hot source is held to a tenth, the other nineteen share the rest alike.
+WEIGHTS = {"src0": 0.1} | {f"src{i}": 0.9 / 19 for i in range(1, 20)}
+SEED = 7
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_documents(spark, sf_dir), WEIGHTS, SEED, text=False)
+    return mixed.select("doc_id", "source", F.col("__copy").cast("long").alias("copy"), F.col("__order").alias("order_key"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_documents(spark, sf_dir), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -54,6 +66,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_documents(spark, sf_dir))
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), F.sha2("__kept_text", 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir), texts=False).drop("cleaned")
 

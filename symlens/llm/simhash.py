@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symlens.llm.graph import components
-from symlens.llm.work import id_value, materialize, rows_of
+from symlens.llm.work import id_key, id_value, materialize, rows_of
 
 #: Shingle hashes counted at a time; bounds memory for very long texts.
 CHUNK = 1 << 16
@@ -127,3 +127,15 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         id_value(F.col("label")).alias("component_id"),
     )
+
+
+def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """``docs`` with the columns it has: of each component the document of smallest id.
+
+    Rows that share that id stay as one row; which one, if their texts differ, is
+    undefined. Parameters are those of :func:`simhash_dedup`.
+    """
+    found = simhash_dedup(docs, id_col, text_col, **parameters)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key("doc_id").alias("__key")).distinct()
+    keyed = docs.withColumn("__key", id_key(id_col)).join(stay, "__key", "left_semi")
+    return keyed.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

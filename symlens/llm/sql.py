@@ -40,4 +40,25 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(r.n_removed, 0) AS n_removed, sha
 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT, "op6_substring_dedup": SUBSTRING}
+#: Counts are drawn from the MD5 of seed, id and part by the weights of the query.
+MIXING = """
+WITH w AS (
+  SELECT 'src' || i AS source, CASE WHEN i = 0 THEN 0.1 ELSE 0.9 / 19 END::DOUBLE AS weight FROM range(20) t(i)
+), z AS (
+  SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents WHERE source IN (SELECT source FROM w) GROUP BY source
+), r AS (
+  SELECT z.source, weight * (SELECT sum(size) FROM z)::DOUBLE / size AS rate FROM z JOIN w USING (source)
+), d AS (
+  SELECT doc_id, documents.source, coalesce(rate, 1.0) AS rate, ('0x' || substr(md5('7:' || doc_id || ':0'), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM documents LEFT JOIN r ON documents.source = r.source
+), p AS (
+  SELECT source, k, sum(term) OVER (PARTITION BY source ORDER BY k) AS cdf
+  FROM (SELECT source, k, exp(-rate) * rate ** k / factorial(k::INTEGER) AS term FROM (SELECT DISTINCT source, rate FROM d), range(32) t(k))
+), n AS (
+  SELECT d.doc_id, d.source, count(*) AS copies FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND p.cdf <= d.u GROUP BY ALL
+)
+SELECT doc_id, source, copy, md5('order:7:' || doc_id || ':' || copy) AS order_key
+FROM (SELECT doc_id, source, unnest(range(1, copies + 1)) AS copy FROM n)
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT, "op5_mix_sources": MIXING, "op6_substring_dedup": SUBSTRING}
