@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlens.llm.graph import components
@@ -93,13 +93,29 @@ def hamming_links(nodes: DataFrame, radius: int = 2, n_blocks: int = 4, pair_buc
     return pairs.union(_flip_links(live.filter(F.col("n") > pair_bucket), masks, radius)).distinct()
 
 
+def _flips(mask: Column, most: int) -> Column:
+    """All values of up to ``most`` bits outside ``mask``, as structs of the value and its number of bits."""
+    free = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 0)
+    bits = F.transform(free, lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
+    value = lambda v, n, last: F.struct(v.alias("bits"), F.lit(n).alias("n"), last.alias("last"))
+    level = F.array(value(F.lit(0).cast("long"), 0, F.lit(-1)))
+    out = [level]
+    indexed = F.transform(bits, lambda b, i: F.struct(b.alias("b"), i.alias("i")))
+
+    def longer(n: int):
+        return lambda x: F.transform(F.slice(indexed, x["last"] + 2, 64), lambda y: value(x["bits"].bitwiseOR(y["b"]), n, y["i"]))
+
+    for n in range(1, most + 1):
+        level = F.flatten(F.transform(level, longer(n)))
+        out.append(level)
+    return F.concat(*out)
+
+
 def _flip_links(rows: DataFrame, masks: list[int], radius: int) -> DataFrame:
     """Links inside large buckets, without pairing their members."""
     near, far = radius // 2, radius - radius // 2
-    free = {t: [i for i in range(64) if not (m >> i) & 1] for t, m in enumerate(masks)}
-    flip = lambda c: F.struct(F.lit(_signed(sum(1 << i for i in c))).alias("bits"), F.lit(len(c)).alias("n"))
-    flips = F.create_map(*[x for t, bits in free.items() for x in (F.lit(t), F.array(*[flip(c) for r in range(far + 1) for c in combinations(bits, r)]))])
-    met = rows.select("t", "fp", F.explode(flips[F.col("t")]).alias("f")).select("t", "fp", F.col("fp").bitwiseXOR(F.col("f.bits")).alias("at"), F.col("f.n").alias("d"))
+    mask = F.array(*[F.lit(m) for m in masks])[F.col("t")]
+    met = rows.withColumn("mask", mask).select("t", "fp", F.explode(_flips(F.col("mask"), far)).alias("f")).select("t", "fp", F.col("fp").bitwiseXOR(F.col("f.bits")).alias("at"), F.col("f.n").alias("d"))
     hubs = met.groupBy("t", "at").agg(F.min("fp").alias("hub"), F.min(F.when(F.col("d") <= near, F.col("fp"))).alias("near_hub"), F.count("*").alias("n"))
     links = met.join(hubs.filter("n > 1").select("t", "at", "hub", "near_hub"), ["t", "at"])
     ends = F.explode(F.array("near_hub", F.when(F.col("d") <= near, F.col("hub"))))

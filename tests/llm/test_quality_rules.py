@@ -44,10 +44,11 @@ def test_line_rules(line, rule):
 
 def test_cleaning_keeps_columns_and_drops_lines(spark):
     good = " ".join(f"word{i}" for i in range(80)) + "."
-    rows = [(1, good + "\nAll rights reserved.\n" + good + "x"), (2, "x | y | z | w\n" * 60), (3, None), (4, good)]
+    more = " ".join(f"other{i}" for i in range(80)) + "."
+    rows = [(1, good + "\nAll rights reserved.\n" + more), (2, "x | y | z | w\n" * 60), (3, None), (4, good)]
     out = clean_documents(frame(spark, rows))
     assert out.columns == frame(spark, rows).columns
-    assert {r.doc_id: r.text for r in out.collect()} == {1: good + "\n" + good + "x", 4: good}
+    assert {r.doc_id: r.text for r in out.collect()} == {1: good + "\n" + more, 4: good}
     assert clean_documents(frame(spark, rows).limit(0)).count() == 0
 
 
