@@ -76,19 +76,18 @@ def section_counts(view: DataFrame) -> DataFrame:
 def affected(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """(symbol_id, depth): what reaches ``seeds`` (symbol_id) against the edges' direction within ``hops``, seeds left out.
 
-    Each hop is a join of the new frontier with the edges and an anti-join with
-    what has been seen, so that a node is expanded once, at its least depth.
+    Each hop joins the distinct nodes of the last one with the edges. What has
+    been seen before is sorted out once, by the least depth: an anti-join a hop
+    would double the plan each time.
     """
     back = edges.select(F.col("callee_symbol_id").alias("symbol_id"), F.col("caller_symbol_id").alias("caller")).distinct()
-    frontier = seeds.select("symbol_id").distinct()
-    seen, found = frontier, None
+    start = seeds.select("symbol_id").distinct()
+    frontier, found = start, None
     for depth in range(1, hops + 1):
-        step = frontier.join(back, "symbol_id").select(F.col("caller").alias("symbol_id")).distinct()
-        frontier = step.join(seen, "symbol_id", "left_anti")
+        frontier = frontier.join(back, "symbol_id").select(F.col("caller").alias("symbol_id")).distinct()
         layer = frontier.withColumn("depth", F.lit(depth))
         found = layer if found is None else found.union(layer)
-        seen = seen.union(frontier)
-    return found
+    return found.groupBy("symbol_id").agg(F.min("depth").alias("depth")).join(start, "symbol_id", "left_anti")
 
 
 class History:
