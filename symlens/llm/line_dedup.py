@@ -153,6 +153,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 10, min_words: int = 8) -> DataFrame:
-    """``docs`` with the columns it has, texts without their deleted lines."""
+    """``docs`` with the columns it has, texts without their deleted lines.
+
+    A document whose lines with words were all deleted holds nothing of its own
+    and goes; one that had no words before stays.
+    """
     out = line_dedup(docs, id_col, text_col, rare, min_words)
+    out = out.filter((F.col("__n_deleted") == 0) | F.col("__kept_text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.col("__kept_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from symlens.llm.quality_rules import BOILERPLATE
+
 #: Texts are equal without ASCII white space; of equal ones the longest, then the smallest doc_id stays.
 EXACT = r"""
 WITH d AS (
@@ -61,4 +63,30 @@ SELECT doc_id, source, copy, md5('order:7:' || doc_id || ':' || copy) AS order_k
 FROM (SELECT doc_id, source, unnest(range(1, copies + 1)) AS copy FROM n)
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT, "op5_mix_sources": MIXING, "op6_substring_dedup": SUBSTRING}
+#: Figures of the words, and lines judged as the rules say.
+QUALITY = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, p, w[p : p + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d)
+), r AS (
+  SELECT doc_id, count(DISTINCT i) AS n_repeat_words FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1) GROUP BY doc_id
+), x AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d
+), y AS (
+  SELECT doc_id, l, len(v) AS n, length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS chars, length(regexp_replace(l, '[^|»]', '', 'g')) + len(string_split(l, ' > ')) - 1 AS bars,
+    length(regexp_replace(l, '[^#*$%&<>|]', '', 'g')) AS marks, len(regexp_extract_all(l, '!!')) + len(regexp_extract_all(l, '[?][?]')) AS shouts,
+    len(list_filter(range(1, len(v)), lambda i: v[i] = v[i + 1])) AS stutters
+  FROM (SELECT *, list_filter(regexp_split_to_array(l, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+'), lambda q: q <> '') AS v FROM x)
+), z AS (
+  SELECT doc_id, sum(chars) AS word_chars, count(*) FILTER (chars > 0) - count(DISTINCT l) FILTER (chars > 0) AS n_dup_lines,
+    coalesce(sum(chars) FILTER (n > 0 AND ((bars >= 2 AND bars > 0.25 * n) OR (marks >= 3 AND marks > 0.5 * n) OR (shouts >= 2 AND shouts > 0.33 * n) OR (n <= 12 AND regexp_matches(l, '{BOILERPLATE}', 'i')) OR (n >= 6 AND stutters > 0.5 * n))), 0) AS lost
+  FROM y GROUP BY doc_id
+), f AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, lost
+  FROM d JOIN z USING (doc_id) LEFT JOIN r USING (doc_id)
+)
+SELECT * EXCLUDE (lost), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.3 * word_chars AS kept FROM f
+""".replace("{BOILERPLATE}", BOILERPLATE.pattern.replace("'", "''"))
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT, "op5_mix_sources": MIXING, "op6_substring_dedup": SUBSTRING, "op9_quality_rules": QUALITY}
