@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symlens.sources.tables import settle
+
 KEY = ["caller_symbol_id", "callee_symbol_id", "edge_kind"]
 SECTIONS = ("center", "incoming", "outgoing", "reference")
 
@@ -76,18 +78,19 @@ def section_counts(view: DataFrame) -> DataFrame:
 def affected(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """(symbol_id, depth): what reaches ``seeds`` (symbol_id) against the edges' direction within ``hops``, seeds left out.
 
-    Each hop joins the distinct nodes of the last one with the edges. What has
-    been seen before is sorted out once, by the least depth: an anti-join a hop
-    would double the plan each time.
+    Each hop joins the new frontier with the edges and anti-joins what has been
+    seen, so a node is expanded once, at its least depth. Frontiers and reversed
+    edges are written as tables: otherwise each hop would plan and run all
+    earlier ones again.
     """
-    back = edges.select(F.col("callee_symbol_id").alias("symbol_id"), F.col("caller_symbol_id").alias("caller")).distinct()
-    start = seeds.select("symbol_id").distinct()
-    frontier, found = start, None
+    back = settle(edges.select(F.col("callee_symbol_id").alias("symbol_id"), F.col("caller_symbol_id").alias("caller")).distinct())
+    frontier = settle(seeds.select("symbol_id").distinct())
+    seen, found = frontier, frontier.limit(0).withColumn("depth", F.lit(0))
     for depth in range(1, hops + 1):
-        frontier = frontier.join(back, "symbol_id").select(F.col("caller").alias("symbol_id")).distinct()
-        layer = frontier.withColumn("depth", F.lit(depth))
-        found = layer if found is None else found.union(layer)
-    return found.groupBy("symbol_id").agg(F.min("depth").alias("depth")).join(start, "symbol_id", "left_anti")
+        step = frontier.join(back, "symbol_id").select(F.col("caller").alias("symbol_id")).distinct()
+        frontier = settle(step.join(seen, "symbol_id", "left_anti"))
+        seen, found = seen.union(frontier), found.union(frontier.withColumn("depth", F.lit(depth)))
+    return found
 
 
 class History:
