@@ -23,10 +23,16 @@ def normalized(text: Column) -> Column:
     return F.translate(text, WHITE, "")
 
 
-def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose ``keys`` occur more than once."""
-    many = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
-    return rows.join(many, keys, "left_semi")
+def _survivors(rows: DataFrame) -> DataFrame:
+    """Rows that share length and prefix hash with another.
+
+    Both levels are counted before rows are moved: a length counts through its
+    prefixes, so that a hot length or prefix is one row a task by then.
+    """
+    prefixes = rows.groupBy("len", "prefix").agg(F.count("*").alias("n"))
+    lengths = prefixes.groupBy("len").agg(F.sum("n").alias("n_len")).filter("n_len > 1").select("len")
+    shared = prefixes.join(lengths, "len", "left_semi").filter("n > 1").select("len", "prefix")
+    return rows.join(shared, ["len", "prefix"], "left_semi")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
@@ -46,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     rows = materialize(scan, "exact-rows")
     narrow = rows.select("key", "n_points", "len", "prefix", "digest", "row_no")
-    survivors = _shared(_shared(narrow, ["len"]), ["len", "prefix"])
+    survivors = _survivors(narrow)
     best = F.max(F.struct("n_points", F.bitwise_not("key").alias("rev"), F.bitwise_not("row_no").alias("rev_no")))
     groups = survivors.groupBy("len", "digest").agg(F.count("*").alias("size"), best.alias("best")).filter("size > 1")
     groups = groups.select("len", "digest", "size", F.bitwise_not("best.rev").alias("keep"), F.bitwise_not("best.rev_no").alias("keep_no"))
