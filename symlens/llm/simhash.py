@@ -137,7 +137,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     label = linked.groupBy("root").agg(F.min("least").alias("label"))
     classes = linked.join(label, "root").select("fp", "label")
-    named = nodes.join(classes, "fp", "left").select("fp", F.coalesce("label", "least").alias("label"))
+    # a table of its own, so that the join below starts from two exchanges and a hot fingerprint's rows can be split
+    named = materialize(nodes.join(classes, "fp", "left").select("fp", F.coalesce("label", "least").alias("label")), "simhash-named")
     return prints.join(named, "fp").select(
         id_value(F.col("key")).alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
