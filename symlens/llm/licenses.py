@@ -79,9 +79,10 @@ def _kept(scan: DataFrame) -> DataFrame:
     table = rules()
     priority = F.array(*[F.lit(r.priority) for r in table])
     spans = one.select("row_no", "rule", (stop - F.col("x.lens")).alias("start"), stop.alias("stop"), priority[F.col("rule")].alias("priority"))
+    # later matches are the earlier ones of the opposite order: a frame that runs on to the end would be summed up anew for each row
     order = [F.asc("start"), F.desc("stop"), F.desc("priority"), F.asc("rule")]
-    earlier = Window.partitionBy("row_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy("row_no").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    opposite = [F.desc("start"), F.asc("stop"), F.asc("priority"), F.desc("rule")]
+    earlier, later = (Window.partitionBy("row_no").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1) for o in (order, opposite))
     around, inside = F.lit(False), F.lit(False)
     for p in sorted(CONFIDENCE):
         own = F.col("priority") == p
