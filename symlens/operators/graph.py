@@ -62,6 +62,25 @@ def centred_items(symbols: DataFrame, edges: DataFrame, center: DataFrame) -> Da
     return found.join(symbols, "symbol_id").select("section", "symbol_id", "name", "kind", "container_name", "uri", "start_line", "start_char", F.lit(1).alias("n"))
 
 
+def resolve_items(items: DataFrame, symbols: DataFrame, how: str = "strict") -> DataFrame:
+    """``items`` (symbol_id, name, uri, start_line, ...) whose symbol the index has.
+
+    Call hierarchies hash the selection range where the index hashes the whole
+    one. ``strict`` keeps items whose id is in the index; ``containment`` gives an
+    item the id of the smallest symbol of its file and name around its start.
+    """
+    if how == "strict":
+        return items.join(symbols.select("symbol_id").distinct(), "symbol_id", "left_semi")
+    if how != "containment":
+        raise ValueError(f"how must be strict or containment, got {how}")
+    around = symbols.select(F.col("symbol_id").alias("found"), "name", "uri", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
+    keyed = items.withColumn("item_id", F.col("symbol_id"))
+    met = keyed.join(around, ["uri", "name"]).filter("from_line <= start_line AND start_line <= to_line")
+    best = met.groupBy("item_id", "uri", "name").agg(F.min_by("found", F.struct(F.col("to_line") - F.col("from_line"), "found")).alias("found"))
+    rows = keyed.join(best, ["item_id", "uri", "name"]).withColumn("symbol_id", F.col("found"))
+    return rows.select(*items.columns)
+
+
 def filter_view(view: DataFrame, text: str) -> DataFrame:
     """The centre, and rows that hold ``text`` in any case in name, container or path."""
     t = text.lower()
