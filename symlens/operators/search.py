@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symlens.functions import exprs as E
+from symlens.sources.tables import settle
 
 DOMAINS = (("name", "name"), ("container", "container_name"))
 
@@ -98,10 +99,12 @@ def intersect(index: DataFrame, wanted: DataFrame) -> DataFrame:
 def search_batch(symbols: DataFrame, queries: DataFrame, hotspots: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """The best ``lim`` symbols for each row of ``queries`` (qid, q, lim, complexity_cap, kinds), with ``rank``.
 
-    ``index`` are the postings of ``symbols``, made here if none are given; give
-    a stored table for repeated batches. Results equal those of :func:`search`.
+    ``index`` are the postings of ``symbols``, written here if none are given; give
+    a stored table for repeated batches. The hits by whole grams are written too,
+    as they also say which tokens need their characters. Results equal those of
+    :func:`search`.
     """
-    index = postings(symbols) if index is None else index
+    index = settle(postings(symbols)) if index is None else index
     tokens = F.filter(F.split(F.lower("q"), r"\s+"), lambda t: t != "")
     asked = queries.select("qid", "lim", "complexity_cap", "kinds", tokens.alias("tokens"))
     one = asked.select("qid", F.explode(F.array_distinct("tokens")).alias("token"))
@@ -111,7 +114,7 @@ def search_batch(symbols: DataFrame, queries: DataFrame, hotspots: DataFrame | N
     keyed = wide.withColumn("key", F.struct("qid", "token", "domain"))
     grams = keyed.select("key", "domain", size.alias("n"), by_size.alias("grams"))
     spread = lambda df: df.select("key", "domain", "n", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    direct = intersect(index, spread(grams))
+    direct = settle(intersect(index, spread(grams)))
     missed = keyed.filter(F.char_length("token") > 1).join(direct.select("key").distinct(), "key", "left_anti")
     letters = missed.select("key", "domain", F.lit(1).alias("n"), E.ngrams(F.col("token"), 1).alias("grams"))
     pairs = direct.union(intersect(index, spread(letters))).select("key.qid", "symbol_id").distinct()
