@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -399,7 +400,8 @@ def preview_window(spark, sf_dir):
 @registered
 def stream_upsert(spark, sf_dir):
     """The events in two files through a streaming query; the result is the table after the last batch."""
-    base = tempfile.mkdtemp(prefix="symlens-stream-") if not (shared := spark.sparkContext.getConf().get("spark.checkpoint.dir")) else f"{shared}/stream-{spark.sparkContext.applicationId}-{id(sf_dir)}"
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    base = f"{shared}/symlens-stream-{uuid.uuid4().hex}"
     rows = W.updates(spark, sf_dir)
     for part in (0, 1):
         rows.filter((F.col("seq") >= 2000) == F.lit(bool(part))).coalesce(1).write.mode("append").parquet(f"{base}/in")
