@@ -114,7 +114,8 @@ def line_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = materialize(rows.dropDuplicates(["key", "fp"]), "line-nodes")
     # a line that alone makes no block links only together with its neighbours, so short ones are left to them
     held = nodes.select("key", "fp", F.explode(F.array_distinct(F.filter(F.transform("hashes", lambda h, i: F.when(F.col("words")[i] >= 3, h)), lambda h: h.isNotNull()))).alias("h"))
-    lines = held.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("key", "fp")).alias("first")).filter("n > 1")
+    # a table of its own, so that the join starts from two exchanges and the rows of a frequent line can be split
+    lines = materialize(held.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("key", "fp")).alias("first")).filter("n > 1"), "line-counts")
     shared = materialize(held.join(lines, "h"), "line-shared")
     few = shared.filter(F.col("n") <= rare).select("h", "key", "fp")
     before = few.select("h", F.col("key").alias("key0"), F.col("fp").alias("fp0"))
