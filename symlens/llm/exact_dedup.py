@@ -31,7 +31,8 @@ def _survivors(rows: DataFrame) -> DataFrame:
     """
     prefixes = rows.groupBy("len", "prefix").agg(F.count("*").alias("n"))
     lengths = prefixes.groupBy("len").agg(F.sum("n").alias("n_len")).filter("n_len > 1").select("len")
-    shared = prefixes.join(lengths, "len", "left_semi").filter("n > 1").select("len", "prefix")
+    # tables of their own, here and below, let adaptive execution split what joins them
+    shared = materialize(prefixes.join(lengths, "len", "left_semi").filter("n > 1").select("len", "prefix"), "exact-shared")
     return rows.join(shared, ["len", "prefix"], "left_semi")
 
 
@@ -56,7 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.max(F.struct("n_points", F.bitwise_not("key").alias("rev"), F.bitwise_not("row_no").alias("rev_no")))
     groups = survivors.groupBy("len", "digest").agg(F.count("*").alias("size"), best.alias("best")).filter("size > 1")
     groups = groups.select("len", "digest", "size", F.bitwise_not("best.rev").alias("keep"), F.bitwise_not("best.rev_no").alias("keep_no"))
-    out = rows.join(groups, ["len", "digest"], "left")
+    out = rows.join(materialize(groups, "exact-groups"), ["len", "digest"], "left")
     alone = F.col("size").isNull()
     return out.select(
         id_value(F.col("key")).alias("doc_id"),
