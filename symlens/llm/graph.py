@@ -21,7 +21,8 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is linked to the node's least neighbour."""
     near = _both(edges)
-    least = near.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+    # a table of its own, so that the edges of a node with very many can be split
+    least = materialize(near.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")), "components-least")
     return near.join(least, "src").filter("dst > src").select(F.col("m").alias("src"), "dst").filter("src <> dst").distinct()
 
 

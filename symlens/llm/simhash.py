@@ -84,7 +84,7 @@ def hamming_links(nodes: DataFrame, radius: int = 2, n_blocks: int = 4, pair_buc
     masks = [_signed(m) for m in block_masks(radius, n_blocks)]
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for t, m in enumerate(masks)])
     keyed = nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.bits")
-    sizes = keyed.groupBy("t", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = materialize(keyed.groupBy("t", "bits").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-sizes")
     live = materialize(keyed.join(sizes, ["t", "bits"]), "simhash-live")
     small = live.filter(F.col("n") <= pair_bucket).select("t", "bits", "fp")
     other = small.withColumnRenamed("fp", "fp2")
