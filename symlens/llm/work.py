@@ -18,12 +18,13 @@ NULL_ID = -(2**63)
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or what the context's checkpoint folder was set to.
 
     Only where the setting is absent (tests on one machine) a temporary folder
     is made and set for the session.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("symlens.work.dir", None)
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("symlens.work.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="symlens-")
         spark.conf.set("symlens.work.dir", found)
