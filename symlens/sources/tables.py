@@ -15,7 +15,8 @@ def settle(df: DataFrame) -> DataFrame:
     Where the setting is absent, as on one machine, a temporary folder serves.
     """
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or f"file://{tempfile.gettempdir()}"
     path = f"{folder.rstrip('/')}/symlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
