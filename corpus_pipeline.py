@@ -30,8 +30,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles; four of 64 bits are a similarity well above 0.8."""
-    return simhash.near_duplicates_removed(docs, shingle_words=5, radius=4, n_blocks=7)
+    """Five-word shingles; texts within four of 64 bits, or of a Jaccard similarity of 0.8, are near copies."""
+    return simhash.near_duplicates_removed(docs, similarity=0.8, shingle_words=5, radius=4, n_blocks=7)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,3 +88,38 @@ def test_edges(spark):
 def test_long_text():
     words = [str(i) for i in range(200_000)]
     assert fingerprint(" ".join(words[:70_000]).encode()) == fingerprint("  ".join(words[:70_000]).upper().encode())
+
+
+def jaccard(a, b, n=5):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def spoiled(r, words, share):
+    """``words`` with a word replaced here and there, about ``share`` of the shingles of five changed."""
+    out = list(words)
+    for i in r.sample(range(0, len(out), 5), max(1, round(len(out) * share / 5))):
+        out[i] = f"x{r.randrange(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("bucket", [32, 2])
+def test_recall_at_jaccard_0_8(spark, bucket):
+    r = random.Random(8)
+    rows = []
+    for g in range(60):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randrange(60, 300))]
+        rows.append((10 * g, " ".join(words)))
+        rows += [(10 * g + k, " ".join(spoiled(r, words, share))) for k, share in enumerate((0.05, 0.09, 0.11, 0.3), 1)]
+    label = {i: i for i, _ in rows}
+    prints = {i: slow(t, 5) for i, t in rows}
+    linked = [(i, j) for i, t in rows for j, u in rows if i < j and i // 10 == j // 10 and jaccard(t, u) >= 0.8]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 4 for i, j in linked) > 40
+    for _ in range(5):
+        for i, j in linked + [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 4]:
+            label[i] = label[j] = min(label[i], label[j])
+    kept = near_duplicates_removed(frame(spark, rows), similarity=0.8, shingle_words=5, radius=4, n_blocks=7, pair_bucket=bucket)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, c in label.items() if i == c)
