@@ -250,10 +250,11 @@ def similar_roots(prints: DataFrame, rows: DataFrame, roots: DataFrame, similari
 
 
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle_words: int = 3, radius: int = 2, n_blocks: int = 4, pair_bucket: int = 32) -> DataFrame:
-    """``docs`` with the columns it has: of each component the document of smallest id.
+    """``docs`` with the columns it has: of each component one row.
 
-    Rows that share that id stay as one row; which one, if their texts differ, is
-    undefined. With ``similarity``, texts whose sets of
+    It is the row of smallest id, null first, then of smallest hash of its text;
+    rows equal in both are one. Rows of one id, or without any, whose texts are
+    in different components all stay. With ``similarity``, texts whose sets of
     shingles have at least that Jaccard similarity are linked besides those
     within ``radius`` bits. Other parameters are those of :func:`simhash_dedup`.
     """
@@ -265,6 +266,6 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
     if similarity is not None:
         roots = similar_roots(prints, rows, roots, similarity, shingle_words, pair_bucket)
     stay = _rooted(nodes, roots).groupBy("root").agg(F.min("least").alias("least"))
-    stay = stay.select(F.col("least.key").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", id_key(id_col)).join(stay, "__key", "left_semi")
-    return keyed.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = stay.select(F.col("least.key").alias("__key"), F.col("least.h").alias("__h"))
+    keyed = docs.withColumns({"__key": id_key(id_col), "__h": text}).join(stay, ["__key", "__h"], "left_semi")
+    return keyed.dropDuplicates(["__key", "__h"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -123,3 +123,11 @@ def test_recall_at_jaccard_0_8(spark, bucket):
             label[i] = label[j] = min(label[i], label[j])
     kept = near_duplicates_removed(frame(spark, rows), similarity=0.8, shingle_words=5, radius=4, n_blocks=7, pair_bucket=bucket)
     assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, c in label.items() if i == c)
+
+
+def test_one_row_for_each_component_whatever_the_ids(spark):
+    texts = [" ".join(f"t{i}w{k}" for k in range(40)) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[0]), (7, texts[4]), (8, texts[4])]
+    for similarity in (None, 0.8):
+        kept = near_duplicates_removed(frame(spark, rows), similarity=similarity)
+        assert sorted((x.doc_id or -1, x.text) for x in kept.collect()) == sorted([(-1, texts[0]), (-1, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4])])
