@@ -14,6 +14,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,28 @@ from symlens.llm.work import id_key, materialize
 WHITE = r"[\x20\x09-\x0D]+"
 
 
+def _unique(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of the items that stand once in both lists, in the order of ``b``."""
+    in_a, in_b = Counter(a), Counter(b)
+    place = {x: i for i, x in enumerate(a) if in_a[x] == 1 and in_b.get(x) == 1}
+    return [(place[x], j) for j, x in enumerate(b) if x in place]
+
+
+def _numbered(a: list[int]) -> list[tuple[int, int]]:
+    seen: Counter = Counter()
+    out = []
+    for x in a:
+        out.append((x, seen[x]))
+        seen[x] += 1
+    return out
+
+
 def _between(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-    """Matches at the ends of two ranges and at lines unique in both; the ranges still open between those."""
+    """Matches at the ends of two ranges and at anchors; the ranges still open between those.
+
+    Anchors are lines unique in both ranges, else neighbouring lines that are so as a pair, else lines of the same
+    number among those alike: while a range has a common line, it gets a match.
+    """
     found, rest = [], []
     while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
         found.append((a0, b0))
@@ -35,9 +56,8 @@ def _between(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) ->
         found.append((a1, b1))
     if a0 == a1 or b0 == b1:
         return found, rest
-    in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
-    place = {a[i]: i for i in range(a0, a1) if in_a[a[i]] == 1 and in_b.get(a[i]) == 1}
-    pairs = [(place[b[j]], j) for j in range(b0, b1) if b[j] in place]
+    pairs = _unique(a[a0:a1], b[b0:b1]) or _unique(list(pairwise(a[a0:a1])), list(pairwise(b[b0:b1]))) or _unique(_numbered(a[a0:a1]), _numbered(b[b0:b1]))
+    pairs = [(a0 + i, b0 + j) for i, j in pairs]
     tails: list[int] = []
     tops: list[int] = []
     back: list[int] = []

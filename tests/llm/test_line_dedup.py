@@ -83,3 +83,19 @@ def test_long_text(spark):
     body = [f"line number {i} of a long text with words" for i in range(5000)]
     rows = [(1, "\n".join(body)), (2, "\n".join(["start of two with other words", *body[100:4900]]))]
     assert {r.doc_id: r["__n_deleted"] for r in line_dedup(frame(spark, rows)).collect()} == {1: 0, 2: 4800}
+
+
+def test_lines_that_stand_twice_are_aligned(spark):
+    assert patience([1, 5, 1], [6, 1, 7]) == [(0, 1)]
+    assert patience([1, 5, 1, 2, 6, 2], [7, 1, 2, 8]) == [(2, 1), (3, 2)]
+    x = " ".join(f"long{i}" for i in range(50))
+    rows = [(0, f"{x}\njunk between\n{x}")] + [(i, f"first of {i}\n{x}\nlast of {i}") for i in range(1, 15)]
+    assert {r.doc_id: r["__n_deleted"] for r in line_dedup(frame(spark, rows)).collect()} == {i: int(i > 0) for i in range(15)}
+
+
+def test_matches_leave_no_common_line_between():
+    r = random.Random(1)
+    for _ in range(300):
+        a, b = ([r.randrange(4) for _ in range(r.randrange(14))] for _ in "ab")
+        got = [(-1, -1), *patience(a, b), (len(a), len(b))]
+        assert all(not set(a[i + 1 : k]) & set(b[j + 1 : m]) for (i, j), (k, m) in zip(got, got[1:]))
