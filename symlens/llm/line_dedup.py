@@ -1,22 +1,28 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Documents that share a rare line (one that few documents hold) are paired, each
-with every earlier holder. A frequent line would make too many pairs, so each of
-its holders is paired with the first one alone: that is linear, and since the
-first holder is the one whose copy stays, no later copy is missed. Pairs are
-aligned by patience diff on line hashes, and aligned common blocks of enough
-words are deleted from the later document. Texts themselves are moved once, when
-the deletions meet them.
+Documents are paired that share a key few of them hold, each with every earlier
+holder. A frequent key would make too many pairs, so each of its holders is
+paired with the first one alone, which is linear. Keys are lines, or with
+``runs`` the least runs of consecutive lines that reach ``min_words``, from each
+line on and up to each line. A line of a block of enough words lies in such a run
+inside the block, so its later copies meet the first holder of that run however
+many documents hold the block's lines; with lines alone that holds only for
+blocks of one line. Pairs are aligned by patience diff on line hashes, and
+aligned common blocks of enough words are deleted from the later document. Texts
+themselves are moved once, when the deletions meet them.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,11 +124,45 @@ def _align(min_words: int):
     return run
 
 
+def run_keys(hashes: list[int], words: list[int], min_words: int) -> set[int]:
+    """Keys of the least runs of ``min_words`` words that start or end at each line; a run of one line has the line's hash."""
+    packed, n = array("q", hashes).tobytes(), len(hashes)
+    spans: set[tuple[int, int]] = set()
+    need, held, first = max(min_words, 1), 0, 0
+    for end in range(n):  # the shortest up to each line
+        held += words[end]
+        while held - words[first] >= need:
+            held -= words[first]
+            first += 1
+        if held >= need:
+            spans.add((first, end + 1))
+    held, last = 0, n
+    for start in range(n - 1, -1, -1):  # and from each line on
+        held += words[start]
+        while held - words[last - 1] >= need:
+            last -= 1
+            held -= words[last]
+        if held >= need:
+            spans.add((start, last))
+    return {hashes[i] if j == i + 1 else xxhash.xxh64_intdigest(packed[8 * i : 8 * j]) - (1 << 63) for i, j in spans}
+
+
+def _run_rows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [run_keys(h, w, min_words) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            h = pa.array([k for x in found for k in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), h], ["key", "fp", "h"])
+
+    return run
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def line_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 10, min_words: int = 8) -> DataFrame:
+def line_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 10, min_words: int = 8, runs: bool = False) -> DataFrame:
     """(key, fp, gone): places of deleted lines for each document that loses any.
 
     ``key`` is the id (null: the least long) and ``fp`` the hash of the text.
@@ -132,8 +172,10 @@ def line_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(id_key(id_col).alias("key"), F.xxhash64(text).alias("fp"), trimmed.alias("lines"))
     rows = rows.select("key", "fp", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, WHITE)))).alias("words"))
     nodes = materialize(rows.dropDuplicates(["key", "fp"]), "line-nodes")
-    # a line that alone makes no block links only together with its neighbours, so short ones are left to them
-    held = nodes.select("key", "fp", F.explode(F.array_distinct(F.filter(F.transform("hashes", lambda h, i: F.when(F.col("words")[i] >= 3, h)), lambda h: h.isNotNull()))).alias("h"))
+    if runs:
+        held = nodes.select("key", "fp", "hashes", "words").mapInArrow(_run_rows(min_words), "key long, fp long, h long")
+    else:
+        held = nodes.select("key", "fp", F.explode(F.array_distinct(F.filter(F.transform("hashes", lambda h, i: F.when(F.col("words")[i] >= 3, h)), lambda h: h.isNotNull()))).alias("h"))
     # a table of its own, so that the join starts from two exchanges and the rows of a frequent line can be split
     lines = materialize(held.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("key", "fp")).alias("first")).filter("n > 1"), "line-counts")
     shared = materialize(held.join(lines, "h"), "line-shared")
@@ -149,17 +191,19 @@ def line_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.select("key", "fp", F.explode("gone").alias("i")).groupBy("key", "fp").agg(F.collect_set("i").alias("gone"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 10, min_words: int = 8) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 10, min_words: int = 8, runs: bool = False) -> DataFrame:
     """``docs`` with its columns and three more: __kept_text, __n_lines, __n_deleted.
 
     Documents are ordered by id, null first, rows of one id by the hash of their
     text; rows equal in id and text are one document and stay alike. Lines are
     compared without white space at their ends. A line is deleted if an aligned
     block of at least ``min_words`` words holds it; blocks are judged on the
-    input. A null text counts as empty and stays null. An empty table gives no
+    input. With ``runs`` each repeated block meets an earlier holder; without,
+    documents are paired by lines of three words and more, and a block of several
+    frequent lines may be missed. A null text counts as empty and stays null. An empty table gives no
     rows.
     """
-    gone = line_deletions(docs, id_col, text_col, rare, min_words).withColumnsRenamed({"key": "__key", "fp": "__fp", "gone": "__gone"})
+    gone = line_deletions(docs, id_col, text_col, rare, min_words, runs).withColumnsRenamed({"key": "__key", "fp": "__fp", "gone": "__gone"})
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"__key": id_key(id_col), "__fp": F.xxhash64(text)})
     out = keyed.join(gone, ["__key", "__fp"], "left")
@@ -173,12 +217,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 10, min_words: int = 8) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 10, min_words: int = 8, runs: bool = False) -> DataFrame:
     """``docs`` with the columns it has, texts without their deleted lines.
 
     A document whose lines with words were all deleted holds nothing of its own
     and goes; one that had no words before stays.
     """
-    out = line_dedup(docs, id_col, text_col, rare, min_words)
+    out = line_dedup(docs, id_col, text_col, rare, min_words, runs)
     out = out.filter((F.col("__n_deleted") == 0) | F.col("__kept_text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.col("__kept_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

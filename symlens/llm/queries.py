@@ -67,7 +67,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(_documents(spark, sf_dir))
+    out = line_dedup(_documents(spark, sf_dir), runs=True)
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), F.sha2("__kept_text", 256).alias("kept_sha256"))
 
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from symlens.llm.line_dedup import common_blocks, deduplicated, line_dedup, patience
+from symlens.llm.line_dedup import common_blocks, deduplicated, line_dedup, patience, run_keys
 from tests.llm.helpers import frame
 
 
@@ -99,3 +99,22 @@ def test_matches_leave_no_common_line_between():
         a, b = ([r.randrange(4) for _ in range(r.randrange(14))] for _ in "ab")
         got = [(-1, -1), *patience(a, b), (len(a), len(b))]
         assert all(not set(a[i + 1 : k]) & set(b[j + 1 : m]) for (i, j), (k, m) in zip(got, got[1:]))
+
+
+def test_blocks_of_frequent_or_short_lines_meet_an_earlier_holder(spark):
+    a, b = "five words in line a", "five words in line b"
+    short = "\n".join(f"short {k}" for k in range(4))
+    rows = [(1, a), (2, b)] + [(i, f"own {i}\n{a}\n{b}\nlast {i}") for i in range(3, 21)] + [(i, f"top {i}\n{short}\nend {i}") for i in range(30, 45)]
+    got = {r.doc_id: r["__n_deleted"] for r in line_dedup(frame(spark, rows), runs=True).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 30: 0} | {i: 2 for i in range(4, 21)} | {i: 4 for i in range(31, 45)}
+
+
+def test_runs_cover_each_line_of_a_block():
+    r = random.Random(3)
+    for _ in range(200):
+        words = [r.randrange(6) for _ in range(r.randrange(1, 10))]
+        hashes = [r.getrandbits(62) for _ in words]
+        keys = run_keys(hashes, words, 8)
+        assert bool(keys) == (sum(words) >= 8)
+        around = run_keys([1, *hashes, 2], [3, *words, 3], 8)
+        assert all(run_keys(hashes[:k], words[:k], 8) <= keys for k in range(len(words))) and keys <= around
