@@ -31,12 +31,19 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def pattern() -> str:
+    """The pattern that cuts texts before the merges."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(_documents(spark, sf_dir), vocabulary())
+    return bpe_digests(_documents(spark, sf_dir), vocabulary(), pattern=pattern())
 
 
 def op3_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

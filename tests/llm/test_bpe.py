@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from symlens.llm.bpe import ByteBPE, bpe_decode, bpe_digests, bpe_encode, read_ranks
+from symlens.llm.bpe import USUAL, ByteBPE, bpe_decode, bpe_digests, bpe_encode, read_ranks
 from tests.llm.helpers import frame, prose
 
 P = pytest.importorskip("public_tokenizers")
@@ -23,12 +23,24 @@ def test_encodes_as_the_ranks_say(exact):
     got = c.encode(texts)
     assert got == [exact.encode_ordinary(t) for t in texts]
     assert [c.decode(x).decode() for x in got] == texts
-    assert [ids for ids, _ in c.encode_offsets(texts)] == got
+    whole = c.tokenizer.encode_batch(texts, add_special_tokens=False)  # the library's own chain
+    assert c.encode_offsets(texts) == [(e.ids, e.offsets) for e in whole]
+
+
+def test_ids_that_the_vocabulary_lacks():
+    c = ByteBPE(PATH)
+    assert c.decode([]) == b""
+    for bad in ([-1], [len(c.tokens.size)], [1, None]):
+        with pytest.raises(ValueError):
+            c.decode(bad)
 
 
 def test_own_pattern_gives_the_same_ids(exact):
     texts = ["It's a test, 12 Éa\n\n  go ", ""]
-    assert ByteBPE(PATH, P.PATTERN).encode(texts) == [exact.encode_ordinary(t) for t in texts]
+    assert USUAL == P.PATTERN
+    for pattern in (P.PATTERN, rf"(?:{P.PATTERN})"):
+        assert ByteBPE(PATH, pattern).encode(texts) == [exact.encode_ordinary(t) for t in texts]
+    assert len(ByteBPE(PATH, r"\S").encode(["abc d"])[0]) == 4
 
 
 def test_digests_of_a_table(spark, exact):
@@ -39,6 +51,7 @@ def test_digests_of_a_table(spark, exact):
         want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
     got = bpe_digests(frame(spark, rows).withColumnRenamed("n_chars", "n_tokens"), PATH)
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == want
+    assert {r.doc_id: r.ids for r in bpe_digests(frame(spark, rows), PATH, ids=True).collect()} == {i: exact.encode_ordinary(t or "") for i, t in rows}
     assert bpe_digests(frame(spark, rows).limit(0), PATH).count() == 0
 
 
