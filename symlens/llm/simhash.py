@@ -16,7 +16,9 @@ at a value: the work stays linear and no link is lost.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,12 @@ from symlens.llm.work import id_key, id_value, materialize, rows_of, text_bytes
 CHUNK = 1 << 16
 #: Bands of least values, and values in a band: two sets of Jaccard similarity 0.8 share a band in 99.98 % of cases.
 BANDS, BAND_ROWS = 16, 4
-#: Hashes permuted at a time.
-MIN_CHUNK = 1 << 11
-_XOR = np.array([xxhash.xxh64_intdigest(b"xor", i) for i in range(BANDS * BAND_ROWS)], np.uint64)
-_ODD = np.array([xxhash.xxh64_intdigest(b"odd", i) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
+#: One bit each of so many least values: two sets of similarity 0.8 differ in a tenth of them on average.
+SKETCH_BITS = 1024
+#: Hashes permuted at a time, times the number of permutations.
+MIN_CHUNK = 1 << 17
+_XOR = np.array([xxhash.xxh64_intdigest(b"xor", i) for i in range(SKETCH_BITS)], np.uint64)
+_ODD = np.array([xxhash.xxh64_intdigest(b"odd", i) | 1 for i in range(SKETCH_BITS)], np.uint64)
 
 
 def shingle_hashes(text: bytes, shingle_words: int) -> Iterator[np.ndarray]:
@@ -153,9 +157,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")), "simhash-nodes")
     roots = components(hamming_links(nodes, radius, n_blocks, pair_bucket))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    label = linked.groupBy("root").agg(F.min("least").alias("label"))
+    # both tables of their own, so that the joins below start from two exchanges and the rows of a hot root or fingerprint can be split
+    label = materialize(linked.groupBy("root").agg(F.min("least").alias("label")), "simhash-labels")
     classes = linked.join(label, "root").select("fp", "label")
-    # a table of its own, so that the join below starts from two exchanges and a hot fingerprint's rows can be split
     named = materialize(nodes.join(classes, "fp", "left").select("fp", F.coalesce("label", "least").alias("label")), "simhash-named")
     return prints.join(named, "fp").select(
         id_value(F.col("key")).alias("doc_id"),
@@ -181,15 +185,33 @@ def _sketches(rows: DataFrame, shingle_words: int, similar: bool) -> DataFrame:
     return rows.select("key", "h", "body").mapInArrow(run, "key long, h long, fp long, m long, bands array<long>")
 
 
+def _least(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The least value of each of the first ``n`` permutations of the hashes."""
+    least, step = np.full(n, 2**64 - 1, np.uint64), max(1, MIN_CHUNK // n)
+    for i in range(0, len(hashes), step):
+        part = hashes[i : i + step, None]
+        np.minimum(least, ((part ^ _XOR[:n]) * _ODD[:n]).min(axis=0), out=least)
+    return least
+
+
 def band_keys(hashes: np.ndarray) -> tuple[int, list[int]]:
     """Number of the distinct shingle hashes and a key for each band of their least permuted values."""
-    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(hashes), MIN_CHUNK):
-        part = hashes[i : i + MIN_CHUNK, None]
-        np.minimum(least, ((part ^ _XOR) * _ODD).min(axis=0), out=least)
+    least = _least(hashes, BANDS * BAND_ROWS)
     return len(hashes), (least.reshape(BANDS, BAND_ROWS) * _ODD[:BAND_ROWS]).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
 
 
+def sketch_bits(hashes: np.ndarray) -> list[int]:
+    """One bit of each least permuted value, 64 to a long."""
+    bits = (_least(hashes, SKETCH_BITS) >> np.uint64(20)).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
+def most_differing(similarity: float) -> int:
+    """Sketch bits in which two sets of the similarity differ at most, but for three cases in 100,000 (four deviations)."""
+    p = (1 - similarity) / 2
+    return int(SKETCH_BITS * p + 4 * (SKETCH_BITS * p * (1 - p)) ** 0.5)
+
+
 def _similar(pairs: DataFrame, rows: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
     """(src, dst): fingerprints of the ``pairs`` (h, fp, h2, fp2) whose shingle sets have the Jaccard ``similarity``."""
 
@@ -207,6 +229,21 @@ def _similar(pairs: DataFrame, rows: DataFrame, similarity: float, shingle_words
     return both.filter(common / (F.size("set") + F.size("set2") - common) >= similarity).select(F.col("fp").alias("src"), F.col("fp2").alias("dst"))
 
 
+def _sketched(texts: DataFrame, rows: DataFrame, shingle_words: int) -> DataFrame:
+    """(h, b0_, b1_, ...): sketch bits of the ``texts`` (h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [sketch_bits(np.unique(np.concatenate(list(shingle_hashes(t.as_py(), shingle_words))))) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[i] for x in bits], pa.int64()) for i in range(SKETCH_BITS // 64)]], ["h", *_BITS])
+
+    bodies = rows.join(texts.select("h").distinct(), "h", "left_semi").select("h", "body").dropDuplicates(["h"])
+    return materialize(bodies.mapInArrow(run, ", ".join(["h long", *[f"{c} long" for c in _BITS]])), "similar-bits")
+
+
+_BITS = [f"b{i}_" for i in range(SKETCH_BITS // 64)]
+
+
 def _rooted(texts: DataFrame, roots: DataFrame) -> DataFrame:
     return texts.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -215,8 +252,9 @@ def similar_roots(prints: DataFrame, rows: DataFrame, roots: DataFrame, similari
     """``roots`` (node, root) with the components of fingerprints joined whose texts have the Jaccard ``similarity``.
 
     Texts that agree in a band meet, are compared exactly and linked. In a bucket of more than
-    ``pair_bucket`` texts each first meets one alone; then the texts still in
-    different components are paired like the others, so no met pair goes unseen.
+    ``pair_bucket`` texts each first meets one alone; the texts still in
+    different components then meet by their sketches, and those are compared
+    exactly whose sketches are as near as the similarity makes them.
     """
     texts = prints.filter("m > 0").dropDuplicates(["h"]).select("h", "fp", "m", "bands")
     keyed = _rooted(texts, roots).select("h", "fp", "m", "root", F.posexplode("bands").alias("t", "v"))
@@ -230,10 +268,14 @@ def similar_roots(prints: DataFrame, rows: DataFrame, roots: DataFrame, similari
 
     near = F.least("m", "m2") / F.greatest("m", "m2") >= similarity
 
-    def paired(live: DataFrame) -> DataFrame:
-        live = live.select("t", "v", "h", "fp", "m", "root")
-        other = live.select("t", "v", *[F.col(c).alias(c + "2") for c in ("h", "fp", "m", "root")])
-        return live.join(other, ["t", "v"]).filter((F.col("h") < F.col("h2")) & (F.col("root") != F.col("root2")) & near).select("h", "fp", "h2", "fp2")
+    def paired(live: DataFrame, *bits: str) -> DataFrame:
+        live = live.select("t", "v", "h", "fp", "m", "root", *bits)
+        other = live.select("t", "v", *[F.col(c).alias(c + "2") for c in live.columns[2:]])
+        wanted = (F.col("h") < F.col("h2")) & (F.col("root") != F.col("root2")) & near
+        if bits:
+            differing = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(c + "2"))) for c in bits])
+            wanted &= differing <= most_differing(similarity)
+        return live.join(other, ["t", "v"]).filter(wanted).select("h", "fp", "h2", "fp2")
 
     live = mixed(keyed)
     large = live.filter(F.col("n") > pair_bucket)
@@ -246,7 +288,8 @@ def similar_roots(prints: DataFrame, rows: DataFrame, roots: DataFrame, similari
         return roots
     rest = mixed(_rooted(large.select("t", "v", "h", "fp", "m"), roots))
     star = roots.select(F.col("root").alias("src"), F.col("node").alias("dst"))
-    return components(star.union(_similar(paired(rest), rows, similarity, shingle_words)))
+    rest = rest.join(_sketched(rest, rows, shingle_words), "h")
+    return components(star.union(_similar(paired(rest, *_BITS), rows, similarity, shingle_words)))
 
 
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle_words: int = 3, radius: int = 2, n_blocks: int = 4, pair_bucket: int = 32) -> DataFrame:

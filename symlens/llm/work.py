@@ -7,6 +7,7 @@ re-read of a file and never a recomputation of the whole chain.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,12 +21,15 @@ NULL_ID = -(2**63)
 def work_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir``, or what the context's checkpoint folder was set to.
 
-    Only where the setting is absent (tests on one machine) a temporary folder
-    is made and set for the session.
+    Only where the setting is absent and Spark runs on one machine (tests) a
+    temporary folder is made and set for the session; on a cluster, whose
+    executors wouldn't see it, that is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("symlens.work.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="symlens-")
         spark.conf.set("symlens.work.dir", found)
     return found.rstrip("/")

@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
 from symlens.llm.graph import components
-from symlens.llm.simhash import block_masks, fingerprint, hamming_links, near_duplicates_removed, simhash_dedup
+from symlens.llm.simhash import block_masks, fingerprint, hamming_links, most_differing, near_duplicates_removed, simhash_dedup, sketch_bits
 from tests.llm.helpers import frame, prose
 
 SMALL = 1 << 64
@@ -131,3 +132,28 @@ def test_one_row_for_each_component_whatever_the_ids(spark):
     for similarity in (None, 0.8):
         kept = near_duplicates_removed(frame(spark, rows), similarity=similarity)
         assert sorted((x.doc_id or -1, x.text) for x in kept.collect()) == sorted([(-1, texts[0]), (-1, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4])])
+
+
+def test_sketches_leave_similar_texts_within_reach():
+    r = np.random.default_rng(3)
+    for similarity in (0.8, 0.9):
+        for n in (60, 500):
+            own = round(n * (1 - similarity) / (1 + similarity) - 1e-9)
+            for _ in range(20):
+                x = r.integers(0, 2**63, n + own, dtype=np.uint64)
+                a, b = sketch_bits(x[:n]), sketch_bits(x[own:])
+                assert sum(((i ^ j) & (2**64 - 1)).bit_count() for i, j in zip(a, b, strict=True)) <= most_differing(similarity)
+    far = [((i ^ j) & (2**64 - 1)).bit_count() for i, j in zip(sketch_bits(x[:200]), sketch_bits(x[200:400]), strict=True)]
+    assert 400 < sum(far) < 624
+
+
+def test_stars_of_partitions_keep_components(spark, monkeypatch):
+    monkeypatch.setattr("symlens.llm.graph.FOREST_NODES", 3)
+    r = random.Random(4)
+    pairs = [(r.randrange(200), r.randrange(200)) for _ in range(150)]
+    label = list(range(200))
+    for _ in range(200):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x.node: x.root for x in components(spark.createDataFrame(pairs, "src long, dst long").repartition(5)).collect()}
+    assert {i: got.get(i, i) for i in range(200)} == dict(enumerate(label))
