@@ -2,8 +2,10 @@
 
 Quality rules drop documents and failing lines, line dedup deletes blocks that
 an earlier document has, SimHash keeps one document of each group of near
-duplicates, mixing repeats documents towards target weights of their sources,
-and the last stage encodes and decodes every text of the mixture.
+duplicates, mixing repeats documents towards target weights of their sources and
+deals them to files at random, in random order within each, and the last stage
+gives the token ids of every row of these files, in their order, with digests of
+the ids and of the text that they decode to.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlens.llm import bpe, line_dedup, mixing, quality_rules, simhash
-from symlens.llm.queries import SEED, WEIGHTS, vocabulary
+from symlens.llm.queries import SEED, WEIGHTS, pattern, vocabulary
 from symlens.llm.work import materialize
 
 
@@ -39,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.bpe_digests(docs, vocabulary())
+    return bpe.bpe_digests(docs, vocabulary(), pattern=pattern(), ids=True)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("simhash near-dedup", near_duplicates), ("mixing sources", mixture), ("byte-level bpe", tokens)]
