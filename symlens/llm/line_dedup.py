@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symlens.llm.work import id_key, materialize
+from symlens.llm.work import free_name, id_key, materialize, without
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -200,20 +200,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     block of at least ``min_words`` words holds it; blocks are judged on the
     input. With ``runs`` each repeated block meets an earlier holder; without,
     documents are paired by lines of three words and more, and a block of several
-    frequent lines may be missed. A null text counts as empty and stays null. An empty table gives no
-    rows.
+    frequent lines may be missed. A null text counts as empty and stays null. An
+    empty table gives no rows. Columns of ``docs`` called like the three new ones
+    give way to them.
     """
-    gone = line_deletions(docs, id_col, text_col, rare, min_words, runs).withColumnsRenamed({"key": "__key", "fp": "__fp", "gone": "__gone"})
+    key, fp, lost = (free_name(docs.columns, c) for c in ("__key", "__fp", "__gone"))
+    gone = line_deletions(docs, id_col, text_col, rare, min_words, runs).withColumnsRenamed({"key": key, "fp": fp, "gone": lost})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__key": id_key(id_col), "__fp": F.xxhash64(text)})
-    out = keyed.join(gone, ["__key", "__fp"], "left")
-    kept = F.transform(F.array(_lines(text)), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: x[i]), "\n"))[0]
-    n = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
+    keyed = docs.withColumns({key: id_key(id_col), fp: F.xxhash64(text)})
+    out = keyed.join(gone, [key, fp], "left")
+    kept = F.transform(F.array(_lines(text)), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(lost)), lambda i: x[i]), "\n"))[0]
+    n = F.coalesce(F.size(lost), F.lit(0)).cast("long")
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept).alias("__kept_text"),
+        *[F.col(f"`{c}`") for c in without(docs, "__kept_text", "__n_lines", "__n_deleted")],
+        F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(kept).alias("__kept_text"),
         F.size(_lines(text)).cast("long").alias("__n_lines"),
-        F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(n).cast("long").alias("__n_deleted"),
+        F.when(F.col(lost).isNull(), F.lit(0)).otherwise(n).cast("long").alias("__n_deleted"),
     )
 
 
@@ -221,8 +223,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with the columns it has, texts without their deleted lines.
 
     A document whose lines with words were all deleted holds nothing of its own
-    and goes; one that had no words before stays.
+    and goes; one that had no words before stays. Nulls, repeated rows and
+    clashing names as in :func:`line_dedup`; an empty table gives no rows.
     """
     out = line_dedup(docs, id_col, text_col, rare, min_words, runs)
     out = out.filter((F.col("__n_deleted") == 0) | F.col("__kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("__kept_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col("__kept_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in without(docs, "__kept_text", "__n_lines", "__n_deleted")])

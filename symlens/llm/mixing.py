@@ -16,6 +16,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symlens.llm.work import free_name, without
+
 #: Means above this are drawn as a sum of equal parts, which keeps exp(-mean) exact.
 PART = 16.0
 
@@ -41,22 +43,23 @@ def rates(docs: DataFrame, weights: Mapping[str, float], source_col: str = "sour
     """Mean repetitions of each weighted source; sizes are counted in characters of text.
 
     The driver gets one row for each source in ``weights``. A source without any
-    text has rate 0.
+    text has rate 0, and so has each where all weights are 0.
     """
     size = F.sum(F.char_length(F.coalesce(F.col(text_col), F.lit("")))).alias("size")
     rows = docs.filter(F.col(source_col).isin(*weights)).groupBy(source_col).agg(size).collect() if weights else []
     sizes = {r[0]: int(r["size"] or 0) for r in rows}
     total, whole = sum(sizes.values()), sum(weights.values())
-    return {s: (w / whole * total / sizes[s] if sizes.get(s) else 0.0) for s, w in weights.items()}
+    return {s: (w / whole * total / sizes[s] if whole and sizes.get(s) else 0.0) for s, w in weights.items()}
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float], seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", other_rate: float = 1.0, text: bool = True) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float], seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", other_rate: float = 1.0) -> DataFrame:
     """A row for each copy: the columns of ``docs`` and __copy (from 1), __rate, __order.
 
     Sources that ``weights`` doesn't name, null among them, have ``other_rate``.
     A null or empty text has size 0 and is drawn like others of its source. Rows
     of one id draw alike; a null id draws by the hash of its text. An empty table
-    gives no rows. With ``text`` off, the text column is left out.
+    gives no rows. Columns of ``docs`` that are called like the three new ones
+    give way to them.
     """
     found = rates(docs, weights, source_col, text_col)
     groups = [*found.items(), (None, other_rate)]
@@ -66,15 +69,17 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float], seed: int = 0, id
     group = F.array_position(known, F.col(source_col))
     at = F.when(group > 0, group - 1).otherwise(F.lit(len(groups) - 1)).cast("int")
     own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null-"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    drawn = docs.withColumns({"__at": at, "__own": own})
-    drawn = drawn.withColumns({"__rate": F.array(*[F.lit(float(r)) for _, r in groups])[F.col("__at")], "__parts": F.array(*map(F.lit, parts))[F.col("__at")]})
+    columns = without(docs, "__copy", "__rate", "__order")
+    at_name, own_name, parts_name, n_name = (free_name(docs.columns, c) for c in ("__at", "__own", "__parts", "__n"))
+    drawn = docs.withColumns({at_name: at, own_name: own})
+    at, own = F.col(at_name), F.col(own_name)
+    drawn = drawn.withColumns({"__rate": F.array(*[F.lit(float(r)) for _, r in groups])[at], parts_name: F.array(*map(F.lit, parts))[at]})
     count = F.aggregate(
-        F.sequence(F.lit(0), F.col("__parts") - 1),
+        F.sequence(F.lit(0), F.col(parts_name) - 1),
         F.lit(0),
-        lambda total, part: total + F.size(F.filter(F.transform(F.array(uniform(str(seed), F.col("__own"), part.cast("string"))), lambda u: F.filter(steps[F.col("__at")], lambda c: c <= u))[0], lambda c: F.lit(True))),
+        lambda total, part: total + F.size(F.filter(F.transform(F.array(uniform(str(seed), own, part.cast("string"))), lambda u: F.filter(steps[at], lambda c: c <= u))[0], lambda c: F.lit(True))),
     )
-    copies = drawn.withColumn("__n", count).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    copies = copies.withColumn("__order", F.md5(F.concat_ws(":", F.lit("order"), F.lit(str(seed)), F.col("__own"), F.col("__copy").cast("string"))))
-    columns = [c for c in docs.columns if text or c != text_col]
+    copies = drawn.withColumn(n_name, count).filter(F.col(n_name) > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(n_name))))
+    copies = copies.withColumn("__order", F.md5(F.concat_ws(":", F.lit("order"), F.lit(str(seed)), own, F.col("__copy").cast("string"))))
     chosen = copies.select(*[F.col(f"`{c}`") for c in columns], "__copy", "__rate", "__order")
     return chosen.repartition("__order").sortWithinPartitions("__order")

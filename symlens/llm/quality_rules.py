@@ -20,13 +20,21 @@ from symlens.llm.work import id_value, rows_of
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
-#: Phrases of page furniture; a short line that holds one is boilerplate.
-BOILERPLATE = re.compile(
-    r"all rights reserved|cookie (?:policy|settings|preferences)|accept (?:all )?cookies|privacy policy|terms of (?:use|service)|terms and conditions|"
+#: Phrases of page furniture by language; a short line that holds one is boilerplate.
+FURNITURE = {
+    "en": r"all rights reserved|cookie (?:policy|settings|preferences)|accept (?:all )?cookies|privacy policy|terms of (?:use|service)|terms and conditions|"
     r"subscribe to our|sign up for|newsletter|click here|read more|share (?:this|on)|follow us|back to top|skip to (?:main )?content|log ?in|sign ?in|"
     r"powered by|javascript (?:is )?(?:required|disabled)|enable javascript|copyright (?:\(c\)|©|\d{4})|©\s*\d{4}|add to cart|leave a comment|related (?:posts|articles)",
-    re.IGNORECASE,
-)
+    "de": r"alle rechte vorbehalten|cookie-?(?:richtlinie|einstellungen)|(?:alle )?cookies (?:akzeptieren|zulassen)|datenschutzerklärung|impressum|allgemeine geschäftsbedingungen|"
+    r"nutzungsbedingungen|hier klicken|mehr lesen|weiterlesen|jetzt (?:anmelden|registrieren|abonnieren)|folgen sie uns|nach oben|zum inhalt springen|in den warenkorb|kommentar (?:hinterlassen|schreiben)|ähnliche beiträge",
+    "fr": r"tous droits réservés|politique (?:de confidentialité|relative aux cookies)|(?:accepter|gérer) (?:tous )?les cookies|mentions légales|conditions (?:générales|d['’]utilisation)|"
+    r"cliquez ici|lire la suite|en savoir plus|s['’]abonner|abonnez-vous|inscrivez-vous|suivez-nous|haut de page|aller au contenu|ajouter au panier|laisser un commentaire|articles (?:similaires|connexes)",
+    "es": r"todos los derechos reservados|política de (?:privacidad|cookies)|aceptar (?:todas )?las cookies|aviso legal|términos y condiciones|condiciones de uso|"
+    r"haga clic aquí|haz clic aquí|leer más|seguir leyendo|suscríbase|suscríbete|regístrate|síguenos|volver arriba|saltar al contenido|añadir al carrito|deja un comentario|(?:entradas|artículos) relacionad[oa]s",
+}
+#: A line that breaks off, as teasers do; also only where the line is short.
+BROKEN_OFF = r"(?:\.\.\.|…)[\x20\x09-\x0D]*$"
+BOILERPLATE = re.compile("|".join([*FURNITURE.values(), BROKEN_OFF]), re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -144,7 +152,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with the columns it has: kept documents only, failing lines removed from their texts."""
+    """``docs`` with the columns it has: kept documents only, failing lines removed from their texts.
+
+    A null text counts as empty and its row goes; repeated rows are judged each
+    by itself; an empty table gives no rows. Other columns are carried along,
+    whatever their names and nulls.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

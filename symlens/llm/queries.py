@@ -61,8 +61,8 @@ SEED = 7
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(_documents(spark, sf_dir), WEIGHTS, SEED, text=False)
-    return mixed.select("doc_id", "source", F.col("__copy").cast("long").alias("copy"), F.col("__order").alias("order_key"))
+    mixed = mix_sources(_documents(spark, sf_dir), WEIGHTS, SEED)
+    return mixed.select("doc_id", "source", "text", F.col("__copy").cast("long").alias("copy"), F.col("__order").alias("order_key"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

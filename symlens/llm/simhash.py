@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlens.llm.graph import components
-from symlens.llm.work import id_key, id_value, materialize, rows_of, text_bytes
+from symlens.llm.work import free_name, id_key, id_value, materialize, rows_of, text_bytes
 
 #: Shingle hashes counted at a time; bounds memory for very long texts.
 CHUNK = 1 << 16
@@ -309,6 +309,7 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
     if similarity is not None:
         roots = similar_roots(prints, rows, roots, similarity, shingle_words, pair_bucket)
     stay = _rooted(nodes, roots).groupBy("root").agg(F.min("least").alias("least"))
-    stay = stay.select(F.col("least.key").alias("__key"), F.col("least.h").alias("__h"))
-    keyed = docs.withColumns({"__key": id_key(id_col), "__h": text}).join(stay, ["__key", "__h"], "left_semi")
-    return keyed.dropDuplicates(["__key", "__h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, h = free_name(docs.columns, "__key"), free_name(docs.columns, "__h")
+    stay = stay.select(F.col("least.key").alias(key), F.col("least.h").alias(h))
+    keyed = docs.withColumns({key: id_key(id_col), h: text}).join(stay, [key, h], "left_semi")
+    return keyed.dropDuplicates([key, h]).select(*[F.col(f"`{c}`") for c in docs.columns])

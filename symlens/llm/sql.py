@@ -51,16 +51,16 @@ WITH w AS (
 ), r AS (
   SELECT z.source, weight * (SELECT sum(size) FROM z)::DOUBLE / size AS rate FROM z JOIN w USING (source)
 ), d AS (
-  SELECT doc_id, documents.source, coalesce(rate, 1.0) AS rate, ('0x' || substr(md5('7:' || doc_id || ':0'), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  SELECT doc_id, documents.source, text, coalesce(rate, 1.0) AS rate, ('0x' || substr(md5('7:' || doc_id || ':0'), 1, 13))::BIGINT / 4503599627370496.0 AS u
   FROM documents LEFT JOIN r ON documents.source = r.source
 ), p AS (
   SELECT source, k, sum(term) OVER (PARTITION BY source ORDER BY k) AS cdf
   FROM (SELECT source, k, exp(-rate) * rate ** k / factorial(k::INTEGER) AS term FROM (SELECT DISTINCT source, rate FROM d), range(32) t(k))
 ), n AS (
-  SELECT d.doc_id, d.source, count(*) AS copies FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND p.cdf <= d.u GROUP BY ALL
+  SELECT d.doc_id, d.source, d.text, count(*) AS copies FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND p.cdf <= d.u GROUP BY ALL
 )
-SELECT doc_id, source, copy, md5('order:7:' || doc_id || ':' || copy) AS order_key
-FROM (SELECT doc_id, source, unnest(range(1, copies + 1)) AS copy FROM n)
+SELECT doc_id, source, text, copy, md5('order:7:' || doc_id || ':' || copy) AS order_key
+FROM (SELECT doc_id, source, text, unnest(range(1, copies + 1)) AS copy FROM n)
 """
 
 #: Figures of the words, and lines judged as the rules say.

@@ -43,6 +43,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or a longer one where a column already has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, *names: str) -> list[str]:
+    """Columns of ``docs`` but those that an operator's own, called ``names``, replace."""
+    own = {n.lower() for n in names}
+    return [c for c in docs.columns if c.lower() not in own]
+
+
 def id_key(name: str = "doc_id") -> Column:
     """The id as a non-null long; null becomes ``NULL_ID``."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))

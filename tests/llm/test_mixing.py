@@ -1,6 +1,8 @@
 import hashlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from symlens.llm.mixing import mix_sources, poisson_steps, rates
 from tests.llm.helpers import frame
 
@@ -59,7 +61,14 @@ def test_edges(spark):
     docs = spark.createDataFrame([(None, "a", "s", 1), (1, None, "s", 1), (2, "", None, 1), (2, "", None, 1)], "doc_id long, text string, source string, size int")
     out = mix_sources(docs, {"s": 1.0}, 2)
     assert [c for c in out.columns if not c.startswith("__")] == docs.columns
-    assert len({c for c in Counter(r.doc_id for r in out.collect()).values()}) >= 0 and out.filter("doc_id = 2").count() % 2 == 0
+    got = Counter(r.doc_id for r in out.collect())
+    assert got[2] == 2 * drawn(2, 2, 1.0, 1) and got[1] == drawn(2, 1, 1.0, 1)
+    assert got[None] == drawn(2, "null-" + hashlib.md5(b"a").hexdigest(), 1.0, 1)
     assert mix_sources(docs.limit(0), {"s": 1.0}).count() == 0
     assert mix_sources(docs, {}, other_rate=0.0).count() == 0
-    assert "text" not in mix_sources(docs, {"s": 1.0}, text=False).columns
+    assert mix_sources(docs.filter("source = 's'"), {"s": 0.0, "t": 0.0}).count() == 0
+    clash = mix_sources(docs.withColumns({c: F.lit(5) for c in ("__N", "__at", "__own", "__parts", "__copy", "__order")}), {"s": 1.0}, 2)
+    assert clash.columns[-3:] == ["__copy", "__rate", "__order"] and set(clash.columns[:-3]) == {*docs.columns, "__N", "__at", "__own", "__parts"}
+    assert sorted(r["__order"] for r in clash.collect()) == sorted(r["__order"] for r in out.collect())
+    long = frame(spark, [(1, "x y " * 500_000, "en", "s", 0), (2, "z", "en", "s", 0)])
+    assert {len(r.text) for r in mix_sources(long, {"s": 1.0}, 3, other_rate=0.0).collect()} <= {2_000_000, 1}

@@ -37,7 +37,11 @@ def test_labels_agree(spark):
     assert n.get((1, False), 0) == 0 and n.get((0, True), 0) <= 0.05 * sum(v for (q, _), v in n.items() if q == 0)
 
 
-@pytest.mark.parametrize(("line", "rule"), [("home | news | sport | about", "navigation"), ("th*** er$$$ of%%%", "punctuation"), ("THE!! ER!! ORES!!", "punctuation"), ("All rights reserved.", "boilerplate"), ("no no no no no no no no", "boilerplate"), ("A plain sentence, with a comma.", None), ("", None)])
+@pytest.mark.parametrize(("line", "rule"), [("home | news | sport | about", "navigation"), ("th*** er$$$ of%%%", "punctuation"), ("THE!! ER!! ORES!!", "punctuation"), ("All rights reserved.", "boilerplate"), ("no no no no no no no no", "boilerplate"), ("A plain sentence, with a comma.", None), ("", None),
+    ("Alle Rechte vorbehalten.", "boilerplate"), ("IMPRESSUM", "boilerplate"), ("Die Rechte der Menschen gelten überall.", None),
+    ("Tous droits réservés", "boilerplate"), ("Lire la suite", "boilerplate"), ("Elle veut lire un livre.", None),
+    ("Todos los derechos reservados.", "boilerplate"), ("Síguenos en las redes", "boilerplate"), ("Quiere leer un libro.", None),
+    ("and then they went", None), ("and then they went ...", "boilerplate"), ("w " * 30 + "...", "boilerplate"), (" ".join(f"w{i}" for i in range(30)) + " …", None)])
 def test_line_rules(line, rule):
     assert line_failure(line) == rule
 
