@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from typing import Any
 
+#: Names and defaults of the options.
 DEFAULTS: dict[str, dict[str, Any]] = {
     "search": {"limit": 50, "debounce_ms": 100},
     "hotspots": {"enabled": True, "since": "3 months ago", "max_files": 1000, "half_life_days": 30, "use_churn": True},

@@ -18,10 +18,10 @@ VIEWS = """WITH RECURSIVE s AS (
   SELECT uri, score / greatest(1.0, (SELECT max(score) FROM raw_hot)) AS score FROM raw_hot QUALIFY row_number() OVER (ORDER BY raw_hot.score DESC, uri) <= 1000
 ), e AS (
   SELECT a.symbol_id AS caller_symbol_id, b.symbol_id AS callee_symbol_id, CASE l_linenumber % 3 WHEN 0 THEN 'call' WHEN 1 THEN 'reference' ELSE 'import' END AS edge_kind, l_orderkey AS evidence_line, l_linenumber::BIGINT AS evidence_char
-  FROM lineitem JOIN s a ON l_partkey = a.part JOIN s b ON (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) = b.part WHERE l_orderkey % 50 = 0
+  FROM lineitem JOIN s a ON l_partkey = a.part JOIN s b ON (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) = b.part
   QUALIFY row_number() OVER (PARTITION BY a.symbol_id, b.symbol_id, l_linenumber % 3 ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC) = 1
 ), rng AS (
-  SELECT 'file:///repo_' || (user_id % 3) || '/src/economy_' || (user_id % 40) || '.ts' AS uri, event_id % 90 AS f, event_id % 90 + event_id % 5 AS l, event_id, event_type FROM events WHERE event_id < 300
+  SELECT 'file:///repo_' || (user_id % 3) || '/src/economy_' || (user_id % 40) || '.ts' AS uri, event_id % 90 AS f, event_id % 90 + event_id % 5 AS l, event_id, event_type FROM events
 ), fil AS (
   SELECT uri, CASE arg_max(event_type, event_id) WHEN 'signup' THEN 'added' WHEN 'error' THEN 'deleted' WHEN 'purchase' THEN 'renamed' ELSE 'modified' END AS change_type FROM rng GROUP BY uri
 ), chg AS (
@@ -106,7 +106,7 @@ DECISION = {
 }
 _DECIDES = " OR ".join(f"(n.lang = '{k}' AND n.type IN ({', '.join(map(lit, v.split()))}))" for k, v in DECISION.items())
 AST = f"""WITH one AS (
-  SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL
+  SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL
 ), n AS (
   SELECT o, (['lua', 'typescript', 'go', 'ruby', 'python'])[(o // 10) % 5 + 1] AS lang,
     (['if_statement', 'for_statement', 'while_statement', 'binary_expression', 'boolean_operator', 'call_expression', 'switch_case', 'elif_clause'])[p % 8 + 1] AS type, (['&&', '||', 'and', '+'])[s % 4 + 1] AS op,
@@ -127,11 +127,6 @@ _BY_ROOT = f"SELECT r.name, (SELECT count(*) FROM s WHERE starts_with(uri, prefi
 _GRAM = "SELECT DISTINCT symbol_id, domain, n, substr(t, i, n) AS gram FROM (SELECT symbol_id, domain, n, t, unnest(range(1, length(t) - n + 2)) AS i FROM (SELECT symbol_id, 'name' AS domain, lower(name) AS t FROM s UNION ALL SELECT symbol_id, 'container', lower(coalesce(container_name, '')) FROM s), range(1, 4) x(n) WHERE length(t) >= n)"
 
 
-def _numbered(rows: list[tuple], columns: str) -> str:
-    show = lambda x: "NULL" if x is None else lit(x) if isinstance(x, str) else str(x)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({columns})"
-
-
 def oracle_sql() -> dict[str, str]:
     out = {name: _views(f"SELECT {_RESULT} FROM ({search_sql(q, **{k: v for k, v in o.items()})})") for name, (q, o) in SEARCHES.items()}
     parts = [f"SELECT {i} AS qid, pos AS rank, {_RESULT} FROM ({search_sql(q, hot=True, **o)})" for i, (q, o) in enumerate(BATCH)]
@@ -157,9 +152,9 @@ def oracle_sql() -> dict[str, str]:
         "hotspot_count_mode": _views("SELECT uri, round(n / greatest(1.0, max(n) OVER ()), 6) AS score FROM (SELECT uri, count(*) AS n FROM num GROUP BY uri) QUALIFY row_number() OVER (ORDER BY n DESC, uri) <= 100"),
         "hotspot_top": _views("SELECT uri, round(score, 6) AS score FROM hot ORDER BY hot.score DESC, uri LIMIT 20"),
         "hotspot_decay_weights": _views("SELECT DISTINCT ct AS commit_time, round(pow(0.5, (1009843200 - ct) / 86400.0 / 30), 6) AS weight FROM num"),
-        "hotspot_lines": _views(f"SELECT uri, repeat('█', floor(round(score, 9) * 10)::INT) AS bar, rpad({_PATH}, 60, ' ') AS path FROM hot ORDER BY hot.score DESC, uri LIMIT 50"),
+        "hotspot_lines": _views(f"SELECT uri, printf('%-60s %s (%.2f)', {_PATH}, repeat('█', floor(round(score, 9) * 10)::INT), round(score, 9)) AS line FROM hot ORDER BY hot.score DESC, uri LIMIT 50"),
         "top_symbols_per_file": _views("SELECT uri, rank, symbol_id, round(sc, 6) AS score, CASE WHEN cc IS NOT NULL THEN round(h * (least(cc, 50) / 50.0), 6) END AS tech_debt FROM rk WHERE rank <= 5"),
-        "drill_down": _views("SELECT symbol_id, printf('%3d. %-40s %3d  %3d    %3d   %s %.2f', rank, name, coalesce(cc, 0), coalesce(cc + 1, 0), CASE WHEN cc IS NULL THEN 0 ELSE part % 5 END, '', 0.0) AS line FROM rk WHERE rank <= 3"),
+        "drill_down": _views("SELECT symbol_id, printf('%3d. %-12s %3d  %3d    %3d   %s %.2f', rank, CASE WHEN length(name) > 12 THEN '...' || right(name, 9) ELSE name END, coalesce(cc, 0), coalesce(cc + 1, 0), CASE WHEN cc IS NULL THEN 0 ELSE part % 5 END, repeat('█', floor(least(d, 1.0) * 10)::INT), d) AS line FROM (SELECT *, CASE WHEN cc IS NULL THEN 0.0 ELSE round(h * (least(cc, 50) / 50.0), 9) END AS d FROM rk) WHERE rank <= 3"),
         "tech_debt": _views("SELECT symbol_id, " + ", ".join(f"CASE WHEN cc IS NOT NULL THEN round(h * (least(cc, {max(c, 1)}) / {max(c, 1)}.0), 6) END AS debt_{c}" for c in (0, 20, 50)) + " FROM top"),
         "edges_upsert_latest": _views("SELECT caller_symbol_id, callee_symbol_id, edge_kind, evidence_line, evidence_char FROM e"),
         "edges_outgoing": _views("SELECT caller_symbol_id, callee_symbol_id, edge_kind FROM e WHERE caller_symbol_id IN (SELECT symbol_id FROM s WHERE part % 5 = 0)"),
@@ -179,11 +174,13 @@ def oracle_sql() -> dict[str, str]:
         "enclosing_function": _views("SELECT DISTINCT p.uri AS file, p.f * 1000 + 500 AS at, (SELECT symbol_id FROM s WHERE s.uri = p.uri AND kind IN (6, 12) AND start_line * 1000 + part % 1000 <= p.f * 1000 + 500 AND p.f * 1000 + 500 <= end_line * 1000 + 999 - part % 1000 ORDER BY (end_line - start_line) * 1000 + 999 - 2 * (part % 1000), symbol_id LIMIT 1) AS node_id FROM rng p"),
         "kind_histogram": _views(f"SELECT ({_KINDS})[kind] AS kind_name, count(*) AS n FROM s GROUP BY 1"),
         "computable_kinds": _views("SELECT symbol_id, kind FROM s WHERE kind IN (6, 9, 12)"),
-        "parse_numstat": _numbered([(0, None, "early.lua", 5.0, 1.0), (3, 1730000000, "src/foo.lua", 10.0, 2.0), (4, 1730000000, "binary.dat", 0.0, 0.0), (6, 1720000000, "src/bar.lua", 2.0, 0.0), (7, 1720000000, "src/foo.lua", 7.0, 3.0)], "line_no, commit_time, path, additions, deletions"),
-        "parse_hunks": _numbered([(0, 9, 15), (1, 2, 2), (4, 0, 3)], "line_no, first, last"),
-        "parse_name_status": _numbered([("file:///repo/a%20b.lua", "a b.lua", "added", None), ("file:///repo/b.lua", "b.lua", "modified", None), ("file:///repo/c.lua", "c.lua", "deleted", None), ("file:///repo/new.lua", "new.lua", "renamed", "old.lua"), ("file:///repo/copy.lua", "copy.lua", "added", None)], "uri, repo_path, change_type, old_repo_path"),
+        "parse_numstat": """SELECT '/repo_' || (l_orderkey % 16) AS root, l_orderkey * 100 + l_linenumber AS line_no, epoch(o_orderdate)::BIGINT AS commit_time, 'src/f' || p || '.ts' AS path,
+  CASE WHEN p % 7 = 0 THEN 0.0 ELSE q END::DOUBLE AS additions, CASE WHEN p % 7 = 0 THEN 0.0 ELSE l_linenumber END::DOUBLE AS deletions
+  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, trunc(min(l_quantity)) AS q FROM lineitem GROUP BY ALL) JOIN orders ON l_orderkey = o_orderkey""",
+        "parse_hunks": "SELECT event_id AS line_no, event_id % 900 AS first, event_id % 900 + n - 1 AS last FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN 1 ELSE event_id % 4 END AS n FROM events) WHERE n > 0 AND event_type <> 'error'",
+        "parse_name_status": "SELECT 'file:///repo/' || replace(f, ' ', '%20') AS uri, f AS repo_path, CASE k WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'deleted' WHEN 3 THEN 'renamed' ELSE 'added' END AS change_type, CASE WHEN k = 3 THEN 'old/' || p_partkey END AS old_repo_path FROM (SELECT p_partkey, 'src/' || p_name || '_' || p_partkey || '.ts' AS f, p_partkey % 6 AS k FROM part) WHERE k < 5",
         "format_entries": _views(f"SELECT symbol_id, ({_KINDS})[kind] || ': ' || name || coalesce(' [' || container_name || ']', '') || ' - ' || replace({_PATH}, '/repo_1/', '') || ':' || (start_line + 1) AS line FROM s"),
-        "format_impacts": _views(f"SELECT symbol_id, printf('%-30s %-8s callers:%-3d hotspot:%.2f score:%.2f %s %s', name, CASE change_type WHEN 'affected' THEN 'affect' ELSE substr(change_type, 1, 5) END, caller_count, 0.0, 0.0, '', {_PATH}) AS line FROM risk"),
+        "format_impacts": _views(f"SELECT symbol_id, printf('%-30s %-8s callers:%-3d hotspot:%.2f score:%.2f %s %s', name, CASE change_type WHEN 'affected' THEN 'affect' ELSE substr(change_type, 1, 5) END, caller_count, round(hotspot, 9), round(impact_score, 9), repeat('█', floor(round(impact_score, 9) * 5)::INT), {_PATH}) AS line FROM risk"),
         "workspace_dedup": _views("SELECT symbol_id, uri FROM s WHERE part % 3 = 0 OR part % 2 = 0"),
         "cursor_in_range": _views("SELECT event_id, arg_min(symbol_id, (end_line - start_line, symbol_id)) AS symbol_id FROM rng JOIN s USING (uri) WHERE (start_line, start_char) <= (f, 3) AND (end_line, end_char) >= (f, 3) GROUP BY event_id"),
         "lsp_flatten": _views("SELECT symbol_id, name, kind, uri, start_line, CASE WHEN part = min(part) OVER (PARTITION BY uri) THEN 1 ELSE 2 END AS depth FROM s"),

@@ -13,7 +13,7 @@ from symlens.functions import exprs as E
 from symlens.functions import render, schema
 from symlens.operators import diff, graph, hotspots, metrics, search, store
 from symlens.plans import workspace as W
-from symlens.plans.specs import BATCH, GRADE_TOKENS, HUNKS, LOG, SEARCHES, STATUS
+from symlens.plans.specs import BATCH, GRADE_TOKENS, SEARCHES
 from symlens.sources import git, lsp, tree
 from symlens.streaming import ingest
 
@@ -179,7 +179,7 @@ def hotspot_decay_weights(spark, sf_dir):
 
 @registered
 def hotspot_lines(spark, sf_dir):
-    return hotspots.top_hotspots(W.hot(spark, sf_dir), 50).select("uri", render.bar(F.round("score", 9), 10).alias("bar"), F.rpad(E.uri_path(F.col("uri")), 60, " ").alias("path"))
+    return hotspots.top_hotspots(W.hot(spark, sf_dir), 50).select("uri", render.hotspot(E.uri_path(F.col("uri")), F.round("score", 9)).alias("line"))
 
 
 @registered
@@ -191,8 +191,8 @@ def top_symbols_per_file(spark, sf_dir):
 @registered
 def drill_down(spark, sf_dir):
     out = hotspots.top_symbols(W.symbols(spark, sf_dir), W.hot(spark, sf_dir), 3)
-    c = F.col
-    return out.select("symbol_id", render.drill_down(c("rank"), c("name"), c("cyclomatic_complexity"), c("lines_of_code"), c("nesting_depth"), F.lit(None).cast("double")).alias("line"))
+    c, debt = F.col, F.round("tech_debt", 9)
+    return out.select("symbol_id", render.drill_down(c("rank"), c("name"), c("cyclomatic_complexity"), c("lines_of_code"), c("nesting_depth"), debt, 12).alias("line"))
 
 
 @registered
@@ -316,23 +316,19 @@ def computable_kinds(spark, sf_dir):
     return W.symbols(spark, sf_dir).filter(F.col("kind").isin(*schema.COMPUTABLE_KINDS)).select("symbol_id", "kind")
 
 
-def _lines(spark, text):
-    return spark.createDataFrame([("/repo", i, x) for i, x in enumerate(text.split("\n"))], git.LINE)
-
-
 @registered
 def parse_numstat(spark, sf_dir):
-    return git.parse_numstat(_lines(spark, LOG)).select("line_no", "commit_time", "path", "additions", "deletions")
+    return git.parse_numstat(W.log_lines(spark, sf_dir)).select("root", "line_no", "commit_time", "path", "additions", "deletions")
 
 
 @registered
 def parse_hunks(spark, sf_dir):
-    return git.parse_hunks(_lines(spark, HUNKS)).select("line_no", "first", "last")
+    return git.parse_hunks(W.hunk_lines(spark, sf_dir)).select("line_no", "first", "last")
 
 
 @registered
 def parse_name_status(spark, sf_dir):
-    return git.parse_name_status(_lines(spark, STATUS)).select("uri", "repo_path", "change_type", "old_repo_path")
+    return git.parse_name_status(W.status_lines(spark, sf_dir)).select("uri", "repo_path", "change_type", "old_repo_path")
 
 
 @registered
@@ -344,8 +340,7 @@ def format_entries(spark, sf_dir):
 @registered
 def format_impacts(spark, sf_dir):
     c = F.col
-    zero = F.lit(0.0)
-    return _ranking(spark, sf_dir).select("symbol_id", render.impact(c("name"), c("change_type"), c("caller_count"), zero, zero, E.uri_path(c("uri"))).alias("line"))
+    return _ranking(spark, sf_dir).select("symbol_id", render.impact(c("name"), c("change_type"), c("caller_count"), F.round("hotspot", 9), F.round("impact_score", 9), E.uri_path(c("uri"))).alias("line"))
 
 
 @registered
@@ -371,7 +366,7 @@ def lsp_flatten(spark, sf_dir):
     point = lambda a, b: F.struct(F.col(a).alias("line"), F.col(b).alias("character"))
     leaf = F.struct("name", "kind", "detail", F.struct(point("start_line", "start_char").alias("start"), point("end_line", "end_char").alias("end")).alias("range"))
     parents = s.groupBy("uri").agg(F.min_by(leaf, "part").alias("top"), F.sort_array(F.collect_list(F.struct("part", leaf.alias("s")))).alias("all"))
-    children = F.transform(F.slice("all", 2, 1_000_000), lambda x: x["s"])
+    children = F.transform(F.slice("all", F.lit(2), F.size("all")), lambda x: x["s"])
     docs = parents.select("uri", F.array(F.struct("top.name", "top.kind", "top.detail", "top.range", children.alias("children"))).alias("symbols"))
     return lsp.flatten_documents(docs).select("symbol_id", "name", "kind", "uri", "start_line", F.size("path").cast("long").alias("depth"))
 

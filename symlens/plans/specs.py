@@ -19,7 +19,3 @@ SEARCHES = {
 }
 BATCH = [("bolt", {"limit": 10}), ("rwd", {"limit": 20}), ("small ring", {}), ("brand#1", {"limit": 30}), ("b", {"kinds": [6, 9, 12]}), ("", {"limit": 5}), ("zzz", {}), ("gr b", {"cap": 10})]
 GRADE_TOKENS = ["bolt", "red", "ring", "rwd", "sg", "zz"]
-#: A log as the source control prints it.
-LOG = "5\t1\tearly.lua\n1730000000\n\n10\t2\tsrc/foo.lua\n-\t-\tbinary.dat\n1720000000\n2\t0\tsrc/bar.lua\n7\t3\tsrc/foo.lua\nnoise"
-HUNKS = "@@ -10,5 +10,7 @@ function\n@@ -1 +3 @@\n@@ -4,2 +3,0 @@\n+text\n@@ -0,0 +1,4 @@"
-STATUS = "A\ta b.lua\nM\tb.lua\nD\tc.lua\nR100\told.lua\tnew.lua\nC90\tsrc.lua\tcopy.lua\nT\tx\n"

@@ -61,8 +61,8 @@ def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges before the latest evidence is chosen, thinned to one order in fifty."""
-    part, items = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 50 == 0)
+    """Edges before the latest evidence is chosen: one a line item, from its part to another."""
+    part, items = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     size = part.agg(F.count("*").alias("n_parts"))
     names = symbols(spark, sf_dir).select("part", "symbol_id", "uri")
     ends = items.join(F.broadcast(size)).withColumn("callee", (F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("n_parts"))
@@ -80,8 +80,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(uri, first, last, event_id, event_type): changed ranges from the first events."""
-    e = table(spark, sf_dir, "events").filter("event_id < 300")
+    """(uri, first, last, event_id, event_type): a changed range an event."""
+    e = table(spark, sf_dir, "events")
     uri = F.concat(F.lit("file:///repo_"), (F.col("user_id") % 3).cast("string"), F.lit("/src/economy_"), (F.col("user_id") % 40).cast("string"), F.lit(".ts"))
     first = F.col("event_id") % 90
     return e.select(uri.alias("uri"), first.alias("first"), (first + F.col("event_id") % 5).alias("last"), "event_id", "event_type")
@@ -109,7 +109,7 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ast_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested-set syntax trees: an order is a function, its lines nest while their number is below five."""
-    i = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 10 == 0)
+    i = table(spark, sf_dir, "lineitem")
     line, order = F.col("l_linenumber").cast("long"), F.col("l_orderkey").cast("string")
     pick = lambda c, *xs: F.array(*map(F.lit, xs))[(c % len(xs)).cast("int")]
     lang = pick(F.col("l_orderkey") / 10, "lua", "typescript", "go", "ruby", "python")
@@ -122,3 +122,29 @@ def ast_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = lambda x: F.lit(x).cast("long")
     roots = one.select("l_orderkey").distinct().select(order.alias("symbol_id"), lang.alias("lang"), F.lit("function_declaration").alias("type"), F.array().cast("array<string>").alias("operators"), zero(0).alias("lft"), zero(1000).alias("rgt"), zero(2).alias("start_line"), (F.col("l_orderkey") % 60 + 2).alias("end_line"))
     return nodes.unionByName(roots)
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(root, line_no, line): sixteen logs with counts, a commit an order and a row a line of it; every seventh row is binary."""
+    head = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.lit(0).alias("n"), epoch("o_orderdate").cast("string").alias("line"))
+    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("int").alias("q"))
+    counts = F.when(F.col("p") % 7 == 0, F.lit("-\t-")).otherwise(F.concat(F.col("q").cast("string"), F.lit("\t"), F.col("l_linenumber").cast("string")))
+    rows = one.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.concat(counts, F.lit("\tsrc/f"), F.col("p").cast("string"), F.lit(".ts")).alias("line"))
+    return head.unionByName(rows).select(F.concat(F.lit("/repo_"), (F.col("o") % 16).cast("string")).alias("root"), (F.col("o") * 100 + F.col("n")).alias("line_no"), "line")
+
+
+def hunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(root, line_no, line): a hunk header an event, with and without counts; an error's is a line of text that quotes one."""
+    e, n = table(spark, sf_dir, "events"), (F.col("event_id") % 4).cast("string")
+    at = (F.col("event_id") % 900 + 1).cast("string")
+    new = F.when(F.col("event_id") % 5 == 0, at).otherwise(F.concat(at, F.lit(","), n))
+    line = F.concat(F.when(F.col("event_type") == "error", "+").otherwise(""), F.lit("@@ -"), (F.col("user_id") % 50).cast("string"), F.lit(",2 +"), new, F.lit(" @@ "), F.col("event_type"))
+    return e.select(F.lit("/repo").alias("root"), F.col("event_id").alias("line_no"), line.alias("line"))
+
+
+def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(root, line_no, line): a changed file a part, with every letter that a name-status list may have."""
+    k, t = F.col("p_partkey"), F.lit("\t")
+    name = F.concat(F.lit("src/"), F.col("p_name"), F.lit("_"), k.cast("string"), F.lit(".ts"))
+    letter = F.array(*map(F.lit, ("A", "M", "D", "R100", "C075", "T")))[(k % 6).cast("int")]
+    return table(spark, sf_dir, "part").select(F.lit("/repo").alias("root"), k.alias("line_no"), F.concat(letter, F.when((k % 6).isin(3, 4), F.concat(t, F.lit("old/"), k.cast("string"))).otherwise(""), t, name).alias("line"))

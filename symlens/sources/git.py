@@ -35,7 +35,7 @@ def count_of(text: Column) -> Column:
 
 def parse_numstat(lines: DataFrame) -> DataFrame:
     """(root, line_no, commit_time, path, additions, deletions): a line of digits sets the time of the rows below it."""
-    row = r"^([-0-9]+)\t([-0-9]+)\t(.+)$"
+    row = r"^(\d+|-)\t(\d+|-)\t(.+)$"
     trimmed = F.regexp_replace("line", r"\r$", "")
     time = F.when(trimmed.rlike("^[0-9]+$"), trimmed.cast("long"))
     before = Window.partitionBy("root").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -62,10 +62,10 @@ def parse_name_status(lines: DataFrame) -> DataFrame:
 
 
 def parse_hunks(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """``lines`` that are hunk headers, with the new side's ``first`` and ``last`` line from 0; pure deletions are dropped."""
-    header = r"@@\s*-(\d+),?(\d*)\s+\+(\d+),?(\d*)\s*@@"
+    """``lines`` that begin with a hunk header, with the new side's ``first`` and ``last`` line from 0; pure deletions are dropped."""
+    header = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
     n = lambda i: F.coalesce(F.regexp_extract(line_col, header, i).try_cast("long"), F.lit(1))
-    found = lines.filter(F.col(line_col).rlike(header)).withColumns({"first": n(3) - 1, "__count": n(4)})
+    found = lines.filter(F.col(line_col).rlike(header)).withColumns({"first": n(1) - 1, "__count": n(2)})
     return found.filter("__count > 0").withColumn("last", F.col("first") + F.col("__count") - 1).drop("__count")
 
 

@@ -17,7 +17,7 @@ NODE_GROUPS = (
 
 
 def kind_of(node_type: Column) -> Column:
-    """Function, class, what the ingest calls interface, or variable."""
+    """Function, class, what the ingest calls interface, or variable (words and numbers are fixed values)."""
     return F.when(node_type.contains("function") | node_type.contains("method"), 12).when(node_type.contains("class"), 5).when(node_type.contains("interface"), 23).otherwise(13).cast("long")
 
 
