@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symlens.llm.work import NULL_ID, id_value, rows_of
+from symlens.llm.work import id_value, rows_of
 
 U64 = np.uint64
 #: Odd multipliers of the two window hashes.
@@ -102,14 +102,15 @@ class Bucket:
 
 
 def _pack(hashed: np.ndarray, n_parts: int, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """Columns cut by the part of their hash, as bytes; rows keep their order within a part."""
+    """Columns cut by the part of their hash, as bytes; rows keep their order within a part.
+
+    Parts without a hash have no row, so that there are never more rows than hashes.
+    """
     part = (hashed % U64(n_parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-    for p in range(n_parts):
-        at = order[cuts[p] : cuts[p + 1]]
-        if len(at):
-            yield p, [c[at].tobytes() for c in columns]
+    held, starts = np.unique(part[order], return_index=True)
+    for p, at in zip(held.tolist(), np.split(order, starts[1:]), strict=False):
+        yield p, [c[at].tobytes() for c in columns]
 
 
 def _unpack(column: pa.ChunkedArray, kind) -> np.ndarray:
@@ -136,8 +137,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = rows.agg(F.sum(F.length("body"))).first()[0] or 0
     n_docs = max(1, -(-total // bucket_bytes))
     n_parts = max(1, n_docs // 4)
-    spread = F.when(F.col("key") == NULL_ID, F.col("fp")).otherwise(F.col("key"))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(spread), F.lit(n_docs)).cast("int"))
+    # by id and text, so that many rows of one id, or of none, don't meet in one bucket
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "fp"), F.lit(n_docs)).cast("int"))
 
     def halves(table: pa.Table) -> pa.Table:
         taken = np.unique(Bucket(table, width).anchors()[1])

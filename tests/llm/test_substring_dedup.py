@@ -1,8 +1,9 @@
 import hashlib
 
+import numpy as np
 import pytest
 
-from symlens.llm.substring_dedup import substring_dedup
+from symlens.llm.substring_dedup import _pack, substring_dedup
 from tests.llm.helpers import frame, prose
 
 
@@ -43,3 +44,19 @@ def test_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, "start " + " ".join(words[:30]))]
     got = {r.doc_id: r.n_removed for r in substring_dedup(frame(spark, rows), bucket_bytes=1000).collect()}
     assert got == {1: 55000, 2: 30}
+
+
+def test_rows_of_the_exchange_are_linear():
+    hashed = np.random.default_rng(1).integers(0, 2**63, 50, dtype=np.uint64)
+    for n_parts in (1, 7, 10**9):
+        got = list(_pack(hashed, n_parts, hashed))
+        assert len(got) <= min(n_parts, len(hashed))
+        back = np.concatenate([np.frombuffer(c[0], np.uint64) for _, c in got])
+        assert sorted(back) == sorted(hashed) and all((np.frombuffer(c[0], np.uint64) % np.uint64(n_parts) == p).all() for p, c in got)
+    assert list(_pack(hashed[:0], 3, hashed[:0])) == []
+
+
+def test_rows_of_one_id_are_dealt_to_many_buckets(spark):
+    rows = [(5, f"{' '.join(f'p{k}' for k in range(25))} own{i}") for i in range(60)]
+    got = substring_dedup(frame(spark, rows), bucket_bytes=500).collect()
+    assert sorted(r.n_removed for r in got) == [0, *[25] * 59]
