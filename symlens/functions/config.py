@@ -60,3 +60,9 @@ def validate(options: Mapping[str, Any] | None = None) -> tuple[dict[str, Any],
         return out
 
     return merge(options or {}, DEFAULTS, ""), warnings
+
+
+def search_params(q: str, options: Mapping[str, Any], kinds: list[int] | None = None) -> dict[str, Any]:
+    """Arguments of a search from validated ``options``; ``kinds`` only where given."""
+    out = {"q": q, "limit": options["search"]["limit"], "complexity_cap": options["metrics"]["complexity_cap"]}
+    return out if kinds is None else out | {"kinds": kinds}

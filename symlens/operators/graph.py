@@ -82,10 +82,10 @@ def resolve_items(items: DataFrame, symbols: DataFrame, how: str = "strict") ->
 
 
 def filter_view(view: DataFrame, text: str) -> DataFrame:
-    """The centre, and rows that hold ``text`` in any case in name, container or path."""
+    """The centre, and rows that hold ``text`` in any case in name, container, detail (where there is one) or path; all for an empty text."""
     t = text.lower()
-    hit = F.col("section") == "center"
-    for c in ("name", "container_name", "uri"):
+    hit = F.lit(t == "") | (F.col("section") == "center")
+    for c in [c for c in ("name", "container_name", "detail", "uri") if c in view.columns]:
         hit |= F.lower(F.coalesce(F.col(c), F.lit(""))).contains(t)
     return view.filter(hit)
 
@@ -130,6 +130,10 @@ class History:
         self.at -= 1
         return self.items[self.at]
 
+    def refresh(self, view):
+        """``view`` of the present item anew; None where there is none."""
+        return None if self.current is None else view(self.current)
+
     @property
     def current(self):
         return self.items[self.at] if self.at >= 0 else None

@@ -145,6 +145,11 @@ class SymbolStore:
         symbols, hot, edges = (self.symbols, self.hotspots, self.edges) if uri_prefix is None else under_prefix(self.symbols, self.hotspots, self.edges, uri_prefix)
         snapshot.write(self.spark, path, {"symbols": symbols, "hotspots": hot, "edges": edges})
 
+    def close(self) -> None:
+        """Let go of what the session has cached of the tables; the tables themselves stay."""
+        for table in (self.symbols, self.edges, self.hotspots):
+            table.unpersist()
+
     @staticmethod
     def load(spark: SparkSession, path: str) -> SymbolStore:
         tables = snapshot.read(spark, path)

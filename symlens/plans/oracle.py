@@ -127,6 +127,17 @@ _BY_ROOT = f"SELECT r.name, (SELECT count(*) FROM s WHERE starts_with(uri, prefi
 _GRAM = "SELECT DISTINCT symbol_id, domain, n, substr(t, i, n) AS gram FROM (SELECT symbol_id, domain, n, t, unnest(range(1, length(t) - n + 2)) AS i FROM (SELECT symbol_id, 'name' AS domain, lower(name) AS t FROM s UNION ALL SELECT symbol_id, 'container', lower(coalesce(container_name, '')) FROM s), range(1, 4) x(n) WHERE length(t) >= n)"
 
 
+#: Files by their number: which symbols, the server's or the tree's, a file takes.
+_FILES = """, num_of AS (
+  SELECT DISTINCT uri, regexp_extract(uri, '_([0-9]+)[.]ts$', 1)::INT AS k FROM s
+), file AS (
+  SELECT uri, k, CASE WHEN k % 11 = 0 THEN NULL WHEN k % 3 = 1 THEN 'lsp' ELSE 'treesitter' END AS method FROM num_of
+), got AS (
+  SELECT symbol_id, uri, method FROM s JOIN file USING (uri) WHERE (method = 'lsp' AND k % 4 > 0 AND part % 2 = 0) OR (method = 'treesitter' AND k % 5 > 0)
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {name: _views(f"SELECT {_RESULT} FROM ({search_sql(q, **{k: v for k, v in o.items()})})") for name, (q, o) in SEARCHES.items()}
     parts = [f"SELECT {i} AS qid, pos AS rank, {_RESULT} FROM ({search_sql(q, hot=True, **o)})" for i, (q, o) in enumerate(BATCH)]
@@ -184,6 +195,11 @@ def oracle_sql() -> dict[str, str]:
         "workspace_dedup": _views("SELECT symbol_id, uri FROM s WHERE part % 3 = 0 OR part % 2 = 0"),
         "cursor_in_range": _views("SELECT event_id, arg_min(symbol_id, (end_line - start_line, symbol_id)) AS symbol_id FROM rng JOIN s USING (uri) WHERE (start_line, start_char) <= (f, 3) AND (end_line, end_char) >= (f, 3) GROUP BY event_id"),
         "lsp_flatten": _views("SELECT symbol_id, name, kind, uri, start_line, CASE WHEN part = min(part) OVER (PARTITION BY uri) THEN 1 ELSE 2 END AS depth FROM s"),
+        "index_files": _views(_FILES + "SELECT symbol_id, uri, method FROM got"),
+        "index_files_status": _views(_FILES + "SELECT uri, CASE WHEN method IS NULL THEN 'skipped' WHEN count(symbol_id) > 0 THEN 'indexed' ELSE 'empty' END AS status, method, count(symbol_id) AS symbol_count FROM file LEFT JOIN got USING (uri, method) GROUP BY uri, method"),
+        "index_files_summary": _views(_FILES + "SELECT count(method) AS target_count, count(*) FILTER (method IS NOT NULL AND n > 0) AS indexed_count, count(*) FILTER (method IS NOT NULL AND n = 0) AS empty_count, 0 AS failed_count, count(*) FILTER (method IS NULL) AS skipped_count FROM (SELECT uri, method, (SELECT count(*) FROM got WHERE got.uri = file.uri) AS n FROM file)"),
+        "roots_listing": _views("SELECT DISTINCT '/repo_' || (part % 3) AS root FROM s"),
+        "ensure_ids": _views("SELECT part, symbol_id, 0 AS end_char FROM s"),
         "tree_symbols": "SELECT node_id, kind, sha256(concat_ws(':', file, name, kind, node_id % 50, 0, node_id % 50 + 3, 1)) AS symbol_id FROM (SELECT p_partkey AS node_id, 'file:///t/' || p_brand AS file, p_name AS name, CASE WHEN p_partkey % 10 < 4 THEN 12 WHEN p_partkey % 10 < 6 THEN 5 WHEN p_partkey % 10 = 6 THEN 23 ELSE 13 END AS kind FROM part WHERE p_partkey % 10 < 9)",
         "index_status": "SELECT count(*) FILTER (event_type NOT IN ('error', 'view')) || '/' || count(*) || ' buffers (empty: ' || count(*) FILTER (event_type = 'view') || ', failed: ' || count(*) FILTER (event_type = 'error') || ')' AS line FROM events",
         "preview_window": "SELECT doc_id, i - 1 AS line_no, length(regexp_replace(x, '\\r$', '')) AS n FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE i - 1 BETWEEN 2 AND 6",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +9,11 @@ from pyspark.sql import functions as F
 
 from symlens.functions import exprs as E
 from symlens.functions import render, schema
-from symlens.operators import diff, graph, hotspots, metrics, search, store
+from symlens.operators import diff, graph, hotspots, ingest as files, metrics, roots, search, store
 from symlens.plans import workspace as W
 from symlens.plans.specs import BATCH, GRADE_TOKENS, SEARCHES
 from symlens.sources import git, lsp, tree
+from symlens.sources.tables import scratch
 from symlens.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -371,6 +370,45 @@ def lsp_flatten(spark, sf_dir):
     return lsp.flatten_documents(docs).select("symbol_id", "name", "kind", "uri", "start_line", F.size("path").cast("long").alias("depth"))
 
 
+def _indexed(spark, sf_dir):
+    """Files by their number: some without an answer, some with an error, some with an empty answer, some not worth indexing."""
+    s = W.symbols(spark, sf_dir)
+    of = F.regexp_extract("uri", r"_(\d+)\.ts$", 1).cast("int")
+    uris = s.select("uri").distinct().withColumn("k", of)
+    manifest = uris.select("uri", (F.col("k") % 11 != 0).alias("valid"), F.lit("").alias("buftype"), F.lit("ts").alias("filetype"), F.lit(True).alias("is_file"))
+    answers = uris.filter("k % 3 > 0").select("uri", (F.col("k") % 3 == 1).alias("ok"))
+    server = s.filter((of % 4 > 0) & (F.col("part") % 2 == 0))
+    tree_rows = s.filter(of % 5 > 0)
+    return files.index_files(manifest, answers, server, tree_rows)
+
+
+@registered
+def index_files(spark, sf_dir):
+    return _indexed(spark, sf_dir).symbols.select("symbol_id", "uri", "method")
+
+
+@registered
+def index_files_status(spark, sf_dir):
+    return _indexed(spark, sf_dir).status
+
+
+@registered
+def index_files_summary(spark, sf_dir):
+    return _indexed(spark, sf_dir).summary
+
+
+@registered
+def roots_listing(spark, sf_dir):
+    return roots.roots_of(W.symbols(spark, sf_dir).select("uri"), [f"/repo_{i}" for i in range(5)])
+
+
+@registered
+def ensure_ids(spark, sf_dir):
+    s = W.symbols(spark, sf_dir)
+    items = s.withColumns({"symbol_id": F.when(F.col("part") % 2 == 0, F.col("symbol_id")).otherwise(F.when(F.col("part") % 3 == 0, "")), "end_char": F.lit(None).cast("long")})
+    return files.with_ids(items).select("part", "symbol_id", "end_char")
+
+
 @registered
 def tree_symbols(spark, sf_dir):
     p = W.table(spark, sf_dir, "part")
@@ -395,8 +433,7 @@ def preview_window(spark, sf_dir):
 @registered
 def stream_upsert(spark, sf_dir):
     """The events in two files through a streaming query; the result is the table after the last batch."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-    base = f"{shared}/symlens-stream-{uuid.uuid4().hex}"
+    base = scratch(spark)
     rows = W.updates(spark, sf_dir)
     for part in (0, 1):
         rows.filter((F.col("seq") >= 2000) == F.lit(bool(part))).coalesce(1).write.mode("append").parquet(f"{base}/in")

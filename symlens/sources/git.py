@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symlens.functions import exprs as E
+from symlens.sources.tables import scratch
 
 LINE = "root string, line_no long, line string"
 STATUS_NAMES = {"A": "added", "D": "deleted", "M": "modified", "R": "renamed", "C": "added"}
@@ -69,18 +70,56 @@ def parse_hunks(lines: DataFrame, line_col: str = "line") -> DataFrame:
     return found.filter("__count > 0").withColumn("last", F.col("first") + F.col("__count") - 1).drop("__count")
 
 
-def run_git(root: str, arguments: Sequence[str]) -> list[tuple[str, int, str]]:
-    """(root, line_no, line) of a git command's output, run on the driver."""
-    done = subprocess.run(["git", "-C", root, *arguments], capture_output=True, text=True, check=True)
-    return [(root, i, x) for i, x in enumerate(done.stdout.split("\n"))]
+def run_git(root: str, arguments: Sequence[str]) -> str:
+    """A git command's output, run on the driver."""
+    return subprocess.run(["git", "-C", root, *arguments], capture_output=True, text=True, check=True).stdout
+
+
+def log_lines(spark: SparkSession, root: str, arguments: Sequence[str], chunk: int = 100_000) -> DataFrame:
+    """(root, line_no, line) of a git command's output; no rows if it fails.
+
+    The output is written to the shared folder some lines at a time, so that
+    the driver never holds a whole log.
+    """
+    path, at = scratch(spark), 0
+
+    def write(rows: list[tuple[str, int, str]]) -> None:
+        spark.createDataFrame(rows, LINE).coalesce(1).write.mode("append").parquet(path)
+
+    write([])
+    try:
+        with subprocess.Popen(["git", "-C", root, *arguments], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, errors="replace") as run:
+            held = []
+            for line in run.stdout:
+                held.append((root, at, line.rstrip("\n")))
+                at += 1
+                if len(held) >= chunk:
+                    write(held)
+                    held = []
+            if held:
+                write(held)
+        failed = run.returncode != 0
+    except OSError:
+        failed = True
+    found = spark.read.schema(LINE).parquet(path)
+    return found.limit(0) if failed else found
 
 
 def numstat_log(spark: SparkSession, roots: Sequence[str], since: str = "3 months ago") -> DataFrame:
     """(root, line_no, line) of the logs of ``roots``; a root whose log fails has no rows."""
-    rows = []
+    out = spark.createDataFrame([], LINE)
     for root in roots:
+        out = out.unionByName(log_lines(spark, root, ["log", "--numstat", "--format=%ct", f"--since={since}"]))
+    return out
+
+
+def base_files(spark: SparkSession, root: str, paths: Sequence[str], base: str = "HEAD") -> DataFrame:
+    """(uri, path, value): what files of a diff, deleted ones above all, held at ``base``; files it lacks have no row."""
+    rows = []
+    for path in paths:
         try:
-            rows += run_git(root, ["log", "--numstat", "--format=%ct", f"--since={since}"])
+            rows.append((path, run_git(root, ["show", f"{base}:{path}"])))
         except (OSError, subprocess.CalledProcessError):
             continue
-    return spark.createDataFrame(rows, LINE)
+    table = spark.createDataFrame(rows, "path string, value string")
+    return table.select(E.file_uri(F.concat(F.lit(root.rstrip("/") + "/"), F.col("path"))).alias("uri"), "path", "value")

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read again.
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder named in ``spark.checkpoint.dir``, which all executors share.
 
-    That folder is shared by all executors, so the rows outlive any of them.
-    Where the setting is absent, as on one machine, a temporary folder serves.
+    Where the setting is absent, as on one machine, a temporary folder serves;
+    on a cluster that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or f"file://{tempfile.gettempdir()}"
-    path = f"{folder.rstrip('/')}/symlens-{uuid.uuid4().hex}"
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.gettempdir()}"
+    return f"{folder.rstrip('/')}/symlens-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to a :func:`scratch` path and read again, so that its rows outlive any executor."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,14 +8,36 @@ number from the one before, so that a batch run again gives the same table.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from symlens.operators.store import replace_symbols
 from symlens.sources import snapshot
 
 
+class ProgressLog(StreamingQueryListener):
+    """Start, progress and end of streaming queries, as records of the ``symlens`` logger or what ``tell`` does with them."""
+
+    def __init__(self, tell=logging.getLogger("symlens").info):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        self.tell(f"started {event.id}")
+
+    def onQueryProgress(self, event) -> None:
+        self.tell(f"batch {event.progress.batchId}: {event.progress.numInputRows} rows")
+
+    def onQueryIdle(self, event) -> None:
+        self.tell(f"idle {event.id}")
+
+    def onQueryTerminated(self, event) -> None:
+        self.tell(f"ended {event.id}" + (f": {event.exception}" if event.exception else ""))
+
+
 def latest_versions(batch: DataFrame) -> DataFrame:
     """Rows of the greatest ``seq`` of each ``request_uri``; older ones are dropped."""
     top = batch.groupBy("request_uri").agg(F.max("seq").alias("seq"))
