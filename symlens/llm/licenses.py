@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from symlens.llm.license_rules import BASE, CONFIDENCE, rules
 from symlens.llm.work import id_key, id_value, materialize
 
-#: Words of a text in any case; after lower-casing A-Z they are its words.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words of a text in any case.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,13 +25,9 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _gate(keywords: list[str]) -> str:
-    """A pattern that finds any keyword as a word in a text of any case, by first letter for speed."""
-    by: dict[str, list[str]] = {}
-    for k in sorted(keywords):
-        by.setdefault(k[0], []).append(k[1:])
-    inner = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items())
-    return rf"(?i)(?<![0-9a-z])(?:{inner})(?![0-9a-z])"
+def _words(text: Column) -> Column:
+    """The words in order; cutting between them is several times faster than extracting each."""
+    return F.array_remove(F.split(text, BETWEEN), "")
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -53,8 +49,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keywords = sorted({r.keyword for r in table})
     literal = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex")) for i, r in enumerate(table)])
     raw = docs.select(id_key(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"), F.monotonically_increasing_id().alias("row_no"))
-    words = F.regexp_extract_all("raw", F.lit(WORD), F.lit(0))
-    lowered = F.regexp_extract_all(F.translate("raw", UPPER, LOWER), F.lit(WORD), F.lit(0))
+    wanted = F.array(*map(F.lit, keywords))
 
     def matched(s: Column) -> Column:
         norm, own = s["norm"], F.filter(literal, lambda r: F.array_contains(s["held"], r["keyword"]))
@@ -63,11 +58,13 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def facts(w: Column) -> Column:
         norm = F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" ")).alias("norm")
-        held = F.array_intersect(w, F.array(*map(F.lit, keywords))).alias("held")
+        held = F.array_intersect(w, wanted).alias("held")
         return F.struct(F.array(*[_places(w, phrase) for phrase, _ in BASE]).alias("places"), _let(F.struct(norm, held), matched).alias("found"))
 
-    gated = F.when(F.col("raw").rlike(_gate(keywords)), _let(lowered, lambda w: F.when(F.size(w) > 0, facts(w))))
-    return raw.select("key", "row_no", F.size(words).cast("long").alias("n_words"), gated.alias("facts"))
+    def counted(w: Column) -> Column:
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.arrays_overlap(w, wanted), facts(w)).alias("facts"))
+
+    return raw.select("key", "row_no", _let(_words(F.translate("raw", UPPER, LOWER)), counted).alias("of")).select("key", "row_no", "of.n_words", "of.facts")
 
 
 def _kept(scan: DataFrame) -> DataFrame:
