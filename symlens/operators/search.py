@@ -96,13 +96,23 @@ def intersect(index: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.filter("found = size").select("key", "symbol_id")
 
 
+def _best_of_kinds(symbols: DataFrame, limit: int) -> DataFrame:
+    """(best_kind, symbol_id): the best ``limit`` symbols of each kind without a query, and under null those of all kinds."""
+    factors = E.final_score(F.lit(1.0), F.col("kind"), F.col("hotspot"), F.col("cyclomatic_complexity"))
+    scored = symbols.withColumn("score", factors).filter("score > 0")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(*rank_order()))
+    each = scored.filter("kind IS NOT NULL").withColumn("place", place).filter(F.col("place") <= F.lit(limit)).select(F.col("kind").alias("best_kind"), "symbol_id")
+    every = scored.orderBy(*rank_order()).limit(limit).select(F.lit(None).cast("int").alias("best_kind"), "symbol_id")
+    return each.union(every)
+
+
 def search_batch(symbols: DataFrame, queries: DataFrame, hotspots: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """The best ``lim`` symbols for each row of ``queries`` (qid, q, lim, complexity_cap, kinds), with ``rank``.
 
     ``index`` are the postings of ``symbols``, written here if none are given; give
     a stored table for repeated batches. The hits by whole grams are written too,
-    as they also say which tokens need their characters. Results equal those of
-    :func:`search`.
+    as they also say which tokens need their characters. The greatest ``lim`` is
+    asked for once. Results equal those of :func:`search`.
     """
     index = settle(postings(symbols)) if index is None else index
     tokens = F.filter(F.split(F.lower("q"), r"\s+"), lambda t: t != "")
@@ -118,12 +128,19 @@ def search_batch(symbols: DataFrame, queries: DataFrame, hotspots: DataFrame | N
     missed = keyed.filter(F.char_length("token") > 1).join(direct.select("key").distinct(), "key", "left_anti")
     letters = missed.select("key", "domain", F.lit(1).alias("n"), E.ngrams(F.col("token"), 1).alias("grams"))
     pairs = direct.union(intersect(index, spread(letters))).select("key.qid", "symbol_id").distinct()
-    everything = asked.filter(F.size("tokens") == 0).select("qid").join(symbols.select("symbol_id"), how="cross")
-    rows = pairs.union(everything).join(asked, "qid").join(_with_hotspots(_texts(symbols), hotspots), "symbol_id")
+    most = asked.agg(F.max("lim"), F.max(F.when(F.size("tokens") == 0, F.col("lim")))).first()
+    if most[1]:
+        best = _best_of_kinds(_with_hotspots(symbols, hotspots), most[1])
+        kinds = F.array_compact(F.array_distinct("kinds"))
+        free = asked.filter((F.size("tokens") == 0) & (F.col("kinds").isNull() | (F.size(kinds) > 0)))
+        free = free.select("qid", F.explode_outer(kinds).alias("asked_kind"))
+        pairs = pairs.union(free.join(best, F.col("asked_kind").eqNullSafe(F.col("best_kind"))).select("qid", "symbol_id"))
+    rows = pairs.join(asked, "qid").join(_with_hotspots(_texts(symbols), hotspots), "symbol_id")
     rows = rows.filter(F.col("kinds").isNull() | F.array_contains("kinds", F.col("kind")))
     total = lambda text, grades: F.aggregate("tokens", F.lit(0.0), lambda s, t: s + E.grade(F.col(text), t, grades))
     raw = F.when(F.size("tokens") == 0, 1.0).otherwise(E.raw_score(total("__name", E.NAME_GRADES), total("__container", E.CONTAINER_GRADES)))
     cc = F.col("cyclomatic_complexity")
     scored = rows.withColumn("score", E.final_score(raw, F.col("kind"), F.col("hotspot"), cc)).filter("score > 0")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*rank_order()))).filter("rank <= lim")
+    # the greatest limit as a literal cuts each query's rows before they are moved
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*rank_order()))).filter(F.col("rank") <= F.lit(most[0] or 0)).filter("rank <= lim")
     return ranked.withColumn("tech_debt", E.tech_debt(F.col("hotspot"), cc, F.col("complexity_cap"))).drop("__name", "__container", "tokens", "kinds", "lim", "complexity_cap")

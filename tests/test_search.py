@@ -105,7 +105,7 @@ def test_random_searches_equal_the_plain_version(spark):
     items = [(*i, r.choice([None, 1, 30])) for i in items]
     scores = {"file:///0": 0.5, "file:///1": 7.0}
     s, hot = rows(spark, items).cache(), spark.createDataFrame(list(scores.items()), "uri string, score double")
-    queries = [("fetch", None, 50), ("fetch data", None, 5), ("fd", [12, 6], 50), ("usr api", None, 50), ("zzq", None, 5), ("", None, 4), ("σ", None, 9), ("e e", None, 9), ("api", [5], 9)]
+    queries = [("fetch", None, 50), ("fetch data", None, 5), ("fd", [12, 6], 50), ("usr api", None, 50), ("zzq", None, 5), ("", None, 4), ("", [12, 5, 12], 6), ("", [], 3), (" ", [13], 1), ("σ", None, 9), ("e e", None, 9), ("api", [5], 9)]
     for q, kinds, limit in queries:
         assert got(search(s, q, limit, kinds=kinds, hotspots=hot)) == naive(items, q, limit, kinds, scores), q
     table = spark.createDataFrame([(i, q, n, 50, k) for i, (q, k, n) in enumerate(queries)], QUERIES)
