@@ -11,10 +11,13 @@ from symlens.llm.bpe import bpe_digests
 from symlens.llm.brown import brown_scores
 from symlens.llm.compression import fold_of, quality_scores, train
 from symlens.llm.exact_dedup import exact_dedup
+from symlens.llm.filter_audit import filter_audit
 from symlens.llm.licenses import license_scan
 from symlens.llm.line_dedup import line_dedup
 from symlens.llm.mixing import mix_sources
+from symlens.llm.packing import pack_documents
 from symlens.llm.quality_rules import quality_rules
+from symlens.llm.ranked_search import build_index, ranked_search
 from symlens.llm.simhash import simhash_dedup
 from symlens.llm.sql import ORACLES
 from symlens.llm.substring_dedup import substring_dedup
@@ -88,6 +91,20 @@ def op10_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), ids=False).drop("ids")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(build_index(_documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -89,4 +89,50 @@ WITH d AS (
 SELECT * EXCLUDE (lost), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.3 * word_chars AS kept FROM f
 """.replace("{BOILERPLATE}", BOILERPLATE.pattern.replace("'", "''"))
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT, "op5_mix_sources": MIXING, "op6_substring_dedup": SUBSTRING, "op9_quality_rules": QUALITY}
+#: Cells of failure masks under every order of the five filters.
+AUDIT = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), m AS (
+  SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY t)] AS f
+  FROM d
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL
+), k AS (
+  SELECT unnest(range(1, 6)) AS i
+), o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (
+  SELECT o, i AS step, o[i] AS own, list_slice(o, 1, i - 1) AS before FROM o, k
+), x AS (
+  SELECT *, f[own] AS fails, len(list_filter(before, lambda j: f[j])) > 0 AS gone, len(list_filter(f, lambda y: y)) AS fails_of FROM c, s
+), r AS (
+  SELECT part, o, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails AND fails_of = 1), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT part, array_to_string(list_transform(o, lambda j: chr((64 + j)::INTEGER)), '') AS filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+#: Every document scored for every item, and ranked.
+SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS w FROM documents
+), g AS (
+  SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0
+), t AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS weight FROM t, g GROUP BY term, docs
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term FROM benchmark
+), s AS (
+  SELECT item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score FROM q JOIN w USING (term) JOIN t USING (term), g GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+""".replace("{TERM}", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT, "op5_mix_sources": MIXING, "op6_substring_dedup": SUBSTRING, "op9_quality_rules": QUALITY, "op11_filter_audit": AUDIT, "op13_ranked_search": SEARCH}
