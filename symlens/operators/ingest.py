@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symlens.functions.schema import symbol_id
+from symlens.operators.places import FIGURES, with_metrics
 from symlens.operators.store import SymbolStore
 from symlens.sources import lsp
 
@@ -28,7 +29,7 @@ class Indexed:
         return self.status.agg((F.count("*") - count("skipped")).alias("target_count"), *[count(s).alias(f"{name}_count") for s, name in (("indexed", "indexed"), ("empty", "empty"), ("error", "failed"), ("skipped", "skipped"))])
 
 
-def index_files(manifest: DataFrame, answers: DataFrame, server: DataFrame, tree: DataFrame) -> Indexed:
+def index_files(manifest: DataFrame, answers: DataFrame, server: DataFrame, tree: DataFrame, nodes: DataFrame | None = None, parsed: DataFrame | None = None) -> Indexed:
     """Index the files of ``manifest`` (uri, valid, buftype, filetype, is_file).
 
     ``answers`` (uri, ok) name the files that a server was asked for: an answer
@@ -36,16 +37,34 @@ def index_files(manifest: DataFrame, answers: DataFrame, server: DataFrame, tree
     an error, takes the symbols of its syntax tree. ``server`` and ``tree`` hold
     symbols by ``uri``. Files not worth indexing are skipped; a file without
     symbols is empty. Repeated rows of a file count once.
+
+    With ``nodes``, the files' syntax trees, functions, methods and constructors
+    get their figures from them (:func:`symlens.operators.places.with_metrics`):
+    a tree's symbol by its ``node_id``, a server's by its start. ``parsed`` (uri,
+    ok) names files whose tree was asked for; one that isn't ok and is needed
+    makes the file's status ``error``, without symbols.
     """
     files = manifest.select("uri").distinct().join(lsp.eligible(manifest).select("uri", F.lit(True).alias("good")).distinct(), "uri", "left")
     answered = answers.groupBy("uri").agg(F.max(F.coalesce("ok", F.lit(False))).alias("ok"))
     method = F.when(F.col("good") & F.coalesce("ok", F.lit(False)), "lsp").when(F.col("good"), "treesitter")
     chosen = files.join(answered, "uri", "left").select("uri", method.alias("method"))
+    failed = F.lit(False)
+    if parsed is not None:
+        broken = parsed.groupBy("uri").agg((~F.max(F.coalesce("ok", F.lit(False)))).alias("broken"))
+        chosen = chosen.join(broken, "uri", "left")
+        failed = (F.col("method") == "treesitter") & F.coalesce("broken", F.lit(False))
+    chosen = chosen.select("uri", "method", failed.alias("failed"))
     columns = [c for c in server.columns if c in tree.columns]
-    both = server.select(*columns, F.lit("lsp").alias("method")).unionByName(tree.select(*columns, F.lit("treesitter").alias("method")))
-    symbols = both.join(chosen, ["uri", "method"], "left_semi").select(*columns, "method")
+    held = [] if "node_id" in columns or "node_id" not in tree.columns else ["node_id"]
+    none = [F.lit(None).cast(tree.schema[c].dataType).alias(c) for c in held]
+    both = server.select(*columns, *none, F.lit("lsp").alias("method")).unionByName(tree.select(*columns, *held, F.lit("treesitter").alias("method")))
+    symbols = both.join(chosen.filter("NOT failed"), ["uri", "method"], "left_semi")
     found = symbols.groupBy("uri").agg(F.count("*").alias("symbol_count"))
-    status = F.when(F.col("method").isNull(), "skipped").when(F.col("symbol_count") > 0, "indexed").otherwise("empty")
+    if nodes is not None:
+        symbols = with_metrics(symbols.select(*columns, *held, "method"), nodes)
+        columns = [*[c for c in columns if c not in FIGURES], *FIGURES]
+    symbols = symbols.select(*columns, "method")
+    status = F.when(F.col("method").isNull(), "skipped").when(F.col("failed"), "error").when(F.col("symbol_count") > 0, "indexed").otherwise("empty")
     rows = chosen.join(found, "uri", "left").withColumn("symbol_count", F.coalesce("symbol_count", F.lit(0)).cast("long"))
     return Indexed(symbols, rows.select("uri", status.alias("status"), "method", "symbol_count"))
 

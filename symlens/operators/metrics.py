@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symlens.operators.intervals import contains_join
+
+PLACE = ["start_line", "start_char", "end_line", "end_char"]
+
 #: Node types that add a decision, by language; other languages take all of the last entry.
 _JS = ("if_statement", "for_statement", "for_in_statement", "while_statement", "do_statement", "switch_case", "catch_clause", "ternary_expression")
 DECISIONS = {
@@ -78,6 +82,6 @@ def is_function(kind: Column) -> Column:
 def enclosing_function(nodes: DataFrame, points: DataFrame) -> DataFrame:
     """For each (file, at) of ``points`` the smallest function around it: (file, at, node_id); null if none."""
     functions = nodes.filter(is_function(F.col("type"))).select("file", "node_id", "lft", "rgt")
-    around = points.join(functions, "file").filter("lft <= at AND at <= rgt")
+    around = contains_join(points.select("file", "at").distinct(), functions, ["file"], "at", "lft", "rgt")
     best = around.groupBy("file", "at").agg(F.min_by("node_id", F.struct(F.col("rgt") - F.col("lft"), "node_id")).alias("node_id"))
     return points.join(best, ["file", "at"], "left")

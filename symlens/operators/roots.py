@@ -116,13 +116,12 @@ def save_roots(store: SymbolStore, roots: Iterable[str], options: Mapping[str, A
 def root_hotspots(spark: SparkSession, roots: Iterable[str], options: Mapping[str, Any], now: int | None = None, lines: Callable[..., DataFrame] = git.log_lines) -> DataFrame:
     """(uri, score) of all roots, by churn or by commits; each root is normalised by itself, and one whose log fails has none.
 
-    ``options`` are those of the hotspots; ``lines`` gives (root, line_no, line).
+    ``options`` are those of the hotspots; ``lines`` gives (root, line_no, line)
+    of all roots at once.
     """
-    churn, out = options["use_churn"], None
-    arguments = ["log", "--numstat", "--format=%ct"] if churn else ["log", "--name-only", "--pretty=format:"]
-    for root in roots:
-        text = lines(spark, root, [*arguments, f"--since={options['since']}"])
-        raw = hotspots.churn_scores(git.parse_numstat(text), int(time.time()) if now is None else now, options["half_life_days"]) if churn else hotspots.commit_scores(git.parse_names(text))
-        scored = hotspots.normalize(raw, options["max_files"]).select(file_uri(F.concat(F.lit(root.rstrip("/") + "/"), F.col("path"))).alias("uri"), "score")
-        out = scored if out is None else out.unionByName(scored)
-    return spark.createDataFrame([], "uri string, score double") if out is None else out
+    churn, known = options["use_churn"], list(roots)
+    arguments = ["--numstat", "--format=%ct"] if churn else ["--name-only", "--pretty=format:"]
+    text = lines(spark, known, [*arguments, f"--since={options['since']}"]).filter("line IS NOT NULL")
+    raw = hotspots.churn_scores(git.parse_numstat(text), int(time.time()) if now is None else now, options["half_life_days"]) if churn else hotspots.commit_scores(git.parse_names(text))
+    scored = hotspots.normalize(raw, options["max_files"])
+    return scored.select(file_uri(F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/"), F.col("path"))).alias("uri"), "score")

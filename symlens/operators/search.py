@@ -12,16 +12,22 @@ of queries in one plan over postings.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symlens.functions import exprs as E
 from symlens.sources.tables import settle
 
+if TYPE_CHECKING:
+    from symlens.operators.postings import PostingIndex
+
 DOMAINS = (("name", "name"), ("container", "container_name"))
 
 
-def _texts(symbols: DataFrame) -> DataFrame:
+def texts(symbols: DataFrame) -> DataFrame:
+    """``symbols`` with what tokens are looked for in: names and containers in lower case."""
     return symbols.withColumns({"__name": F.lower("name"), "__container": F.lower(F.coalesce("container_name", F.lit("")))})
 
 
@@ -62,9 +68,16 @@ def search(symbols: DataFrame, q: str, limit: int = 50, complexity_cap: int = 50
     returns all symbols by their factors.
     """
     tokens = q.lower().split()
-    rows = _texts(symbols)
+    rows = texts(symbols)
     if tokens:
         rows = rows.filter(_candidate(rows, list(dict.fromkeys(tokens))))
+    return ranked(rows.drop("__name", "__container"), q, limit, complexity_cap, kinds, hotspots)
+
+
+def ranked(candidates: DataFrame, q: str, limit: int = 50, complexity_cap: int = 50, kinds: list[int] | None = None, hotspots: DataFrame | None = None) -> DataFrame:
+    """The best of a query's candidates, as :func:`search` gives them."""
+    tokens = q.lower().split()
+    rows = texts(candidates)
     if kinds is not None:
         rows = rows.filter(F.col("kind").isin(*kinds) if kinds else F.lit(False))
     raw = F.lit(1.0)
@@ -80,19 +93,20 @@ def search(symbols: DataFrame, q: str, limit: int = 50, complexity_cap: int = 50
     return out.orderBy(*rank_order()).limit(limit)
 
 
-def postings(symbols: DataFrame) -> DataFrame:
-    """(domain, n, gram, symbol_id): the distinct grams of one to three characters of names and containers."""
+def postings(symbols: DataFrame, *others: str) -> DataFrame:
+    """(domain, n, gram, symbol_id, others): the distinct grams of one to three characters of names and containers."""
     lists = [_grams(domain, column, n) for domain, column in DOMAINS for n in (1, 2, 3)]
-    return symbols.select("symbol_id", F.explode(F.concat(*lists)).alias("p")).select("p.domain", "p.n", "p.gram", "symbol_id")
+    return symbols.select("symbol_id", *others, F.explode(F.concat(*lists)).alias("p")).select("p.domain", "p.n", "p.gram", "symbol_id", *others)
 
 
 def _grams(domain: str, column: str, n: int) -> Column:
     return F.transform(E.ngrams(F.lower(F.coalesce(F.col(column), F.lit(""))), n), lambda g: F.struct(F.lit(domain).alias("domain"), F.lit(n).alias("n"), g.alias("gram")))
 
 
-def intersect(index: DataFrame, wanted: DataFrame) -> DataFrame:
+def intersect(index: DataFrame | PostingIndex, wanted: DataFrame) -> DataFrame:
     """Of each group in ``wanted`` (key, domain, n, gram, size), the symbols whose postings hold all its grams."""
-    met = wanted.join(index, ["domain", "n", "gram"]).groupBy("key", "size", "symbol_id").agg(F.count_distinct("gram").alias("found"))
+    rows = index if isinstance(index, DataFrame) else index.among(wanted)
+    met = wanted.join(rows, ["domain", "n", "gram"]).groupBy("key", "size", "symbol_id").agg(F.count_distinct("gram").alias("found"))
     return met.filter("found = size").select("key", "symbol_id")
 
 
@@ -106,11 +120,11 @@ def _best_of_kinds(symbols: DataFrame, limit: int) -> DataFrame:
     return each.union(every)
 
 
-def search_batch(symbols: DataFrame, queries: DataFrame, hotspots: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+def search_batch(symbols: DataFrame, queries: DataFrame, hotspots: DataFrame | None = None, index: DataFrame | PostingIndex | None = None) -> DataFrame:
     """The best ``lim`` symbols for each row of ``queries`` (qid, q, lim, complexity_cap, kinds), with ``rank``.
 
     ``index`` are the postings of ``symbols``, written here if none are given; give
-    a stored table for repeated batches. The hits by whole grams are written too,
+    a stored table or :class:`~symlens.operators.postings.PostingIndex` for repeated batches. The hits by whole grams are written too,
     as they also say which tokens need their characters. The greatest ``lim`` is
     asked for once. Results equal those of :func:`search`.
     """
@@ -135,7 +149,7 @@ def search_batch(symbols: DataFrame, queries: DataFrame, hotspots: DataFrame | N
         free = asked.filter((F.size("tokens") == 0) & (F.col("kinds").isNull() | (F.size(kinds) > 0)))
         free = free.select("qid", F.explode_outer(kinds).alias("asked_kind"))
         pairs = pairs.union(free.join(best, F.col("asked_kind").eqNullSafe(F.col("best_kind"))).select("qid", "symbol_id"))
-    rows = pairs.join(asked, "qid").join(_with_hotspots(_texts(symbols), hotspots), "symbol_id")
+    rows = pairs.join(asked, "qid").join(_with_hotspots(texts(symbols), hotspots), "symbol_id")
     rows = rows.filter(F.col("kinds").isNull() | F.array_contains("kinds", F.col("kind")))
     total = lambda text, grades: F.aggregate("tokens", F.lit(0.0), lambda s, t: s + E.grade(F.col(text), t, grades))
     raw = F.when(F.size("tokens") == 0, 1.0).otherwise(E.raw_score(total("__name", E.NAME_GRADES), total("__container", E.CONTAINER_GRADES)))

@@ -58,7 +58,7 @@ def stats_by_root(symbols: DataFrame, hot: DataFrame, roots: DataFrame) -> DataF
     """
     files = symbols.groupBy(F.col("request_uri").alias("u")).agg(F.count("*").alias("s")).select("u", "s", F.lit(1).alias("f"), F.lit(0).alias("h"))
     rows = files.unionByName(hot.select(F.col("uri").alias("u"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("f"), F.lit(1).alias("h")))
-    met = rows.join(F.broadcast(roots), F.col("u").startswith(F.col("uri_prefix")))
+    met = below(rows, roots, "u")
     counts = met.groupBy("name").agg(F.sum("s").alias("symbol_count"), F.sum("f").alias("uri_count"), F.sum("h").alias("hotspot_count"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return roots.select("name").join(counts, "name", "left").select("name", zero("symbol_count"), zero("uri_count"), zero("hotspot_count"))
@@ -161,8 +161,20 @@ class SymbolStore:
         return replace(self, symbols=replace_symbols(self.symbols, tables["symbols"]), edges=graph.upsert_edges(self.edges, tables["edges"]), hotspots=overlay_hotspots(self.hotspots, tables["hotspots"]))
 
 
+def below(rows: DataFrame, roots: DataFrame, uri: str) -> DataFrame:
+    """A row for each row and root whose ``uri_prefix`` its ``uri`` begins with, columns of both.
+
+    A URI is cut at each length that a prefix has, and the cuts are looked up: an
+    equi-join, whatever the number of roots. The driver gets the distinct lengths
+    of prefixes, which are no more than the longest one has characters.
+    """
+    lengths = sorted(r[0] for r in roots.filter("uri_prefix IS NOT NULL").select(F.char_length("uri_prefix")).distinct().collect())
+    cuts = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.char_length(uri)), lambda n: F.substring(F.col(uri), F.lit(1), n))
+    return rows.withColumn("uri_prefix", F.explode(cuts)).join(roots, "uri_prefix")
+
+
 def rooted(rows: DataFrame, roots: DataFrame, uri: Column) -> DataFrame:
-    """``rows`` and the longest root prefix (name, uri_prefix) of their URI; null where none fits."""
-    best = rows.select(uri.alias("__uri")).distinct().join(F.broadcast(roots), F.col("__uri").startswith(F.col("uri_prefix")))
-    best = best.groupBy("__uri").agg(F.max_by("name", F.length("uri_prefix")).alias("root"))
+    """``rows`` and the ``root`` with the longest prefix (name, uri_prefix) of their URI, of equal ones the last by name; null where none fits."""
+    met = below(rows.select(uri.alias("__uri")).distinct(), roots.select("name", "uri_prefix"), "__uri")
+    best = met.groupBy("__uri").agg(F.max_by("name", F.struct(F.char_length("uri_prefix"), F.col("name"))).alias("root"))
     return rows.withColumn("__uri", uri).join(best, "__uri", "left").drop("__uri")

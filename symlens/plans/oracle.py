@@ -127,6 +127,54 @@ _BY_ROOT = f"SELECT r.name, (SELECT count(*) FROM s WHERE starts_with(uri, prefi
 _GRAM = "SELECT DISTINCT symbol_id, domain, n, substr(t, i, n) AS gram FROM (SELECT symbol_id, domain, n, t, unnest(range(1, length(t) - n + 2)) AS i FROM (SELECT symbol_id, 'name' AS domain, lower(name) AS t FROM s UNION ALL SELECT symbol_id, 'container', lower(coalesce(container_name, '')) FROM s), range(1, 4) x(n) WHERE length(t) >= n)"
 
 
+#: The nodes of the syntax trees, one SELECT a place in a part's tree: number, type, bound, first and last line, condition, operator.
+_WORD = lambda *xs: f"([{', '.join(map(lit, xs))}])[k % {len(xs)} + 1]"
+_NODES = " UNION ALL ".join(
+    f"SELECT k, file, lang, k * 20 + {no} AS lft, k * 20 + {rgt} AS rgt, {kind} AS type, {op} AS op, k * 20 + {first} AS sl, k * 20 + {last} AS el FROM p WHERE {when}"
+    for no, kind, rgt, first, last, when, op in (
+        (0, lit("function_declaration"), 19, 0, 17, "true", "NULL"),
+        (1, _WORD("if_statement", "if_expression", "switch_statement"), 4, 1, 8, "true", "NULL"),
+        (2, lit("for_statement"), 3, 2, 5, "k % 2 = 0", "NULL"),
+        (5, _WORD("arrow_function", "lambda", "method_definition"), 12, 9, 15, "k % 3 <> 0", "NULL"),
+        (6, _WORD("binary_expression", "boolean_operator"), 7, 10, 10, "k % 3 <> 0", _WORD("&&", "and", "or", "+", "||")),
+        (8, _WORD("while_statement", "while_expression"), 11, 11, 14, "k % 3 <> 0", "NULL"),
+        (9, lit("catch_clause"), 10, 12, 13, "k % 3 <> 0 AND p_size % 2 = 0", "NULL"),
+    )
+)
+_TREE_DECISIONS = {
+    "typescript": "if_statement for_statement while_statement catch_clause",
+    "lua": "if_statement for_statement while_statement",
+    "python": "if_statement for_statement while_statement",
+    "rust": "if_expression while_expression",
+    "ruby": "if_statement if_expression for_statement while_statement while_expression catch_clause",
+}
+_TREE_DECIDES = " OR ".join(f"(b.lang = '{k}' AND b.type IN ({', '.join(map(lit, v.split()))}))" for k, v in _TREE_DECISIONS.items())
+_TREE_LOGIC = "(b.lang IN ('typescript', 'rust') AND b.type = 'binary_expression' AND b.op IN ('&&', '||')) OR (b.lang = 'lua' AND b.type = 'binary_expression' AND b.op IN ('and', 'or')) OR (b.lang = 'python' AND b.type = 'boolean_operator' AND b.op IN ('and', 'or'))"
+_TREE_NESTS = "IN ('if_statement', 'if_expression', 'switch_statement', 'for_statement', 'while_statement', 'while_expression', 'catch_clause')"
+#: Each symbol of a server walks up from its place to the first function; a tree's symbol has its own node.
+MEASURED = f"""WITH p AS (
+  SELECT p_partkey AS k, p_size, p_name, 'file:///repo_' || (p_partkey % 3) || '/tree/' || p_brand || '_' || (p_partkey % 5) || '.ts' AS file, {_WORD('typescript', 'lua', 'python', 'rust', 'ruby').replace('k %', 'p_partkey %')} AS lang FROM part
+), n AS ({_NODES}
+), fn AS (
+  SELECT * FROM n WHERE type LIKE '%function%' OR type LIKE '%method%' OR type = 'lambda'
+), fig AS (
+  SELECT f.lft, any_value(f.file) AS file, any_value(f.el - f.sl + 1) AS loc, 1 + coalesce(sum((coalesce({_TREE_DECIDES}, false))::INT + (coalesce({_TREE_LOGIC}, false))::INT) FILTER (b.lft > f.lft), 0) AS cc,
+    coalesce(max((SELECT count(*) FROM n c WHERE c.k = b.k AND c.lft > f.lft AND c.lft <= b.lft AND c.rgt >= b.rgt AND c.type {_TREE_NESTS})) FILTER (b.type {_TREE_NESTS}), 0) AS depth
+  FROM fn f JOIN n b ON b.k = f.k AND b.lft >= f.lft AND b.lft <= f.rgt GROUP BY f.lft
+), u AS (
+  SELECT DISTINCT file, regexp_extract(file, '#(\\d+)_(\\d)', 1)::INT * 5 + regexp_extract(file, '#(\\d+)_(\\d)', 2)::INT AS i FROM p
+), st AS (
+  SELECT file, i, CASE WHEN i % 17 = 0 THEN NULL WHEN i % 5 > 1 THEN 'lsp' ELSE 'treesitter' END AS method, i % 17 <> 0 AND i % 5 <= 1 AND i % 7 = 0 AS failed FROM u
+), server AS (
+  SELECT file AS uri, p_name AS name, k % 26 + 1 AS kind, k * 20 + k % 20 AS sl, k % 4 AS sc, k * 20 + k % 20 + 1 AS el, 0 AS ec,
+    CASE WHEN k % 26 + 1 IN (6, 9, 12) THEN (SELECT max(lft) FROM fn WHERE fn.file = p.file AND (fn.sl, fn.sl % 3) <= (p.k * 20 + p.k % 20, p.k % 4) AND (fn.el, 40) > (p.k * 20 + p.k % 20, p.k % 4)) END AS node FROM p
+), trees AS (
+  SELECT file AS uri, 'f' || lft AS name, 12 AS kind, sl, 0 AS sc, el, 40 AS ec, lft AS node FROM fn WHERE type IN ('function_declaration', 'method_definition')
+), got AS (
+  SELECT x.*, method FROM server x JOIN st ON uri = file AND method = 'lsp' UNION ALL SELECT x.*, method FROM trees x JOIN st ON uri = file AND method = 'treesitter' AND NOT failed
+)
+"""
+
 #: Files by their number: which symbols, the server's or the tree's, a file takes.
 _FILES = """, num_of AS (
   SELECT DISTINCT uri, regexp_extract(uri, '_([0-9]+)[.]ts$', 1)::INT AS k FROM s
@@ -143,6 +191,7 @@ def oracle_sql() -> dict[str, str]:
     parts = [f"SELECT {i} AS qid, pos AS rank, {_RESULT} FROM ({search_sql(q, hot=True, **o)})" for i, (q, o) in enumerate(BATCH)]
     moved = "SELECT part, sha256(concat_ws(':', uri, name, kind, start_line + 1, start_char, end_line + 1, end_char)) AS symbol_id, uri, start_line + 1 AS start_line FROM s WHERE part % 40 < 13 AND part % 2 = 0"
     out |= {
+        "search_scan": _views(f"SELECT {_RESULT} FROM ({search_sql('small ring', hot=True)})"),
         "search_batch_topk": _views(" UNION ALL ".join(parts)),
         "ngrams_distinct": "SELECT doc_id, " + ", ".join(f"CASE WHEN len(l) < {n} THEN 0 ELSE len(list_distinct(list_transform(range(1, len(l) - {n - 2}), lambda i: {' || '.join(f'l[i + {j}]' for j in range(n))}))) END AS n{n}" for n in (1, 2, 3)) + " FROM (SELECT doc_id, string_split(lower(coalesce(text, '')), '') AS l FROM documents)",
         "postings_build": _views(f"SELECT domain, n, gram, count(*) AS symbols FROM ({_GRAM}) GROUP BY ALL"),
@@ -197,6 +246,8 @@ def oracle_sql() -> dict[str, str]:
         "lsp_flatten": _views("SELECT symbol_id, name, kind, uri, start_line, CASE WHEN part = min(part) OVER (PARTITION BY uri) THEN 1 ELSE 2 END AS depth FROM s"),
         "index_files": _views(_FILES + "SELECT symbol_id, uri, method FROM got"),
         "index_files_status": _views(_FILES + "SELECT uri, CASE WHEN method IS NULL THEN 'skipped' WHEN count(symbol_id) > 0 THEN 'indexed' ELSE 'empty' END AS status, method, count(symbol_id) AS symbol_count FROM file LEFT JOIN got USING (uri, method) GROUP BY uri, method"),
+        "index_files_metrics": MEASURED + "SELECT sha256(concat_ws(':', uri, name, kind, sl, sc, el, ec)) AS symbol_id, uri, method, kind, sl AS start_line, cc::BIGINT AS cyclomatic_complexity, loc AS lines_of_code, depth AS nesting_depth FROM got LEFT JOIN fig ON fig.lft = node AND fig.file = uri",
+        "index_files_errors": MEASURED + "SELECT count(*) FILTER (method IS NOT NULL) AS target_count, count(*) FILTER (method IS NOT NULL AND NOT failed AND n > 0) AS indexed_count, count(*) FILTER (method IS NOT NULL AND NOT failed AND n = 0) AS empty_count, count(*) FILTER (failed) AS failed_count, count(*) FILTER (method IS NULL) AS skipped_count FROM (SELECT *, (SELECT count(*) FROM got WHERE uri = file) AS n FROM st)",
         "index_files_summary": _views(_FILES + "SELECT count(method) AS target_count, count(*) FILTER (method IS NOT NULL AND n > 0) AS indexed_count, count(*) FILTER (method IS NOT NULL AND n = 0) AS empty_count, 0 AS failed_count, count(*) FILTER (method IS NULL) AS skipped_count FROM (SELECT uri, method, (SELECT count(*) FROM got WHERE got.uri = file.uri) AS n FROM file)"),
         "roots_listing": _views("SELECT DISTINCT '/repo_' || (part % 3) AS root FROM s"),
         "ensure_ids": _views("SELECT part, symbol_id, 0 AS end_char FROM s"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from symlens.functions import exprs as E
 from symlens.functions import render, schema
-from symlens.operators import diff, graph, hotspots, ingest as files, metrics, roots, search, store
+from symlens.operators import diff, graph, hotspots, ingest as files, metrics, places, roots, search, store
 from symlens.plans import workspace as W
 from symlens.plans.specs import BATCH, GRADE_TOKENS, SEARCHES
 from symlens.sources import git, lsp, tree
@@ -34,7 +34,8 @@ RESULT = ["symbol_id", "name", "kind", "container_name", "uri", "start_line"]
 
 def _search(q: str, options: dict) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = search.search(W.symbols(spark, sf_dir), q, options.get("limit", 50), options.get("cap", 50), options.get("kinds"), W.hot(spark, sf_dir) if options.get("hot") else None)
+        index, hot = W.stored(spark, sf_dir)
+        out = index.search(q, options.get("limit", 50), options.get("cap", 50), options.get("kinds"), hot if options.get("hot") else None)
         return out.select(*RESULT, r6("score"), r6("tech_debt"))
 
     return run
@@ -44,10 +45,18 @@ for _name, (_q, _options) in SEARCHES.items():
     REGISTRY[_name] = _search(_q, _options)
 
 
+@registered
+def search_scan(spark, sf_dir):
+    """Without an index: the table itself is asked for the query's grams."""
+    out = search.search(W.symbols(spark, sf_dir), "small ring", hotspots=W.hot(spark, sf_dir))
+    return out.select(*RESULT, r6("score"), r6("tech_debt"))
+
+
 @registered
 def search_batch_topk(spark, sf_dir):
     queries = spark.createDataFrame([(i, q, o.get("limit", 50), o.get("cap", 50), o.get("kinds")) for i, (q, o) in enumerate(BATCH)], schema.QUERIES)
-    out = search.search_batch(W.symbols(spark, sf_dir), queries, W.hot(spark, sf_dir))
+    index, hot = W.stored(spark, sf_dir)
+    out = search.search_batch(index.symbols(), queries, hot, index)
     return out.select("qid", F.col("rank").cast("long").alias("rank"), *RESULT, r6("score"), r6("tech_debt"))
 
 
@@ -352,10 +361,7 @@ def workspace_dedup(spark, sf_dir):
 @registered
 def cursor_in_range(spark, sf_dir):
     points = W.diff_ranges(spark, sf_dir).select("event_id", "uri", F.col("first").alias("line"), F.lit(3).alias("char"))
-    after = (F.col("start_line") < F.col("line")) | ((F.col("start_line") == F.col("line")) & (F.col("start_char") <= F.col("char")))
-    before = (F.col("end_line") > F.col("line")) | ((F.col("end_line") == F.col("line")) & (F.col("end_char") >= F.col("char")))
-    met = points.join(W.symbols(spark, sf_dir), "uri").filter(after & before)
-    return met.groupBy("event_id").agg(F.min_by("symbol_id", F.struct(F.col("end_line") - F.col("start_line"), F.col("symbol_id"))).alias("symbol_id"))
+    return places.symbols_at(points, W.symbols(spark, sf_dir)).select("event_id", "symbol_id")
 
 
 @registered
@@ -392,6 +398,28 @@ def index_files_status(spark, sf_dir):
     return _indexed(spark, sf_dir).status
 
 
+def _measured(spark, sf_dir):
+    """Files whose server answered, failed or wasn't asked, with their trees, of which some can't be had."""
+    nodes = W.file_nodes(spark, sf_dir)
+    uris = nodes.select(F.col("file").alias("uri")).distinct()
+    digits = lambda group: F.regexp_extract("uri", r"#(\d+)_(\d)\.", group).cast("int")
+    of = digits(1) * 5 + digits(2)
+    manifest = uris.select("uri", F.lit(True).alias("valid"), F.lit("").alias("buftype"), F.lit("ts").alias("filetype"), (of % 17 != 0).alias("is_file"))
+    answers = uris.filter(of % 5 != 0).select("uri", (of % 5 != 1).alias("ok"))
+    named = nodes.filter("type LIKE '%function%' OR type LIKE '%method%'").withColumn("name", F.concat(F.lit("f"), F.col("lft").cast("string")))
+    return files.index_files(manifest, answers, W.file_answers(spark, sf_dir), tree.tree_symbols(named), nodes, uris.select("uri", (of % 7 != 0).alias("ok")))
+
+
+@registered
+def index_files_metrics(spark, sf_dir):
+    return _measured(spark, sf_dir).symbols.select("symbol_id", "uri", "method", "kind", "start_line", *places.FIGURES)
+
+
+@registered
+def index_files_errors(spark, sf_dir):
+    return _measured(spark, sf_dir).summary
+
+
 @registered
 def index_files_summary(spark, sf_dir):
     return _indexed(spark, sf_dir).summary
@@ -432,13 +460,12 @@ def preview_window(spark, sf_dir):
 
 @registered
 def stream_upsert(spark, sf_dir):
-    """The events in two files through a streaming query; the result is the table after the last batch."""
+    """All events through a streaming query, some files at a time in any order; the result is the table after the last batch."""
     base = scratch(spark)
     rows = W.updates(spark, sf_dir)
-    for part in (0, 1):
-        rows.filter((F.col("seq") >= 2000) == F.lit(bool(part))).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    ingest.stream_upserts(spark, stream, f"{base}/table", f"{base}/checkpoint", rows.drop("seq").limit(0)).awaitTermination()
+    rows.repartition(8, F.xxhash64("seq")).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(f"{base}/in")
+    ingest.stream_upserts(spark, stream, f"{base}/table", f"{base}/checkpoint", parts=16).awaitTermination()
     return ingest.current(spark, f"{base}/table").select("request_uri", "name", "symbol_id")
 
 

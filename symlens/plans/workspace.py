@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from symlens.functions.schema import COMPUTABLE_KINDS, symbol_id
 from symlens.operators import graph, hotspots
+from symlens.operators.postings import PostingIndex
+from symlens.sources.tables import scratch
 
 #: 2002-01-01, the day that churn is weighed from, and the days before it that count.
 NOW, WINDOW_DAYS = 1009843200, 90
@@ -60,6 +62,34 @@ def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hotspots.normalize(hotspots.churn_scores(numstat(spark, sf_dir), NOW)).select(F.col("path").alias("uri"), "score")
 
 
+#: Where the stored workspace of a session and folder lies.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[PostingIndex, DataFrame]:
+    """The stored index of :func:`symbols` and the stored scores of :func:`hot`, made once a session.
+
+    The index comes to hold its symbols by upserts and a removal: a third of the
+    files first has other names, a third comes later, and files that are removed
+    again hold copies of these.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch(spark)
+        index = PostingIndex(spark, f"{path}/index", buckets=32, shelves=8)
+        rows = symbols(spark, sf_dir).drop("part")
+        third = lambda i: rows.filter(F.crc32("uri") % 3 == i)
+        moved = third(2).withColumn("uri", F.replace(F.col("uri"), F.lit("/src/"), F.lit("/gone/"))).withColumn("request_uri", F.col("uri"))
+        index.upsert(third(0).unionByName(third(1).withColumn("name", F.concat(F.lit("old_"), "name"))).unionByName(moved))
+        index.upsert(third(1))
+        index.remove(moved.select("uri").distinct(), merge=False)
+        index.upsert(third(2), merge=False)
+        hot(spark, sf_dir).write.parquet(f"{path}/hot")
+        _STORED[key] = path
+    path = _STORED[key]
+    return PostingIndex(spark, f"{path}/index"), spark.read.parquet(f"{path}/hot")
+
+
 def edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges before the latest evidence is chosen: one a line item, from its part to another."""
     part, items = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
@@ -148,3 +178,42 @@ def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("src/"), F.col("p_name"), F.lit("_"), k.cast("string"), F.lit(".ts"))
     letter = F.array(*map(F.lit, ("A", "M", "D", "R100", "C075", "T")))[(k % 6).cast("int")]
     return table(spark, sf_dir, "part").select(F.lit("/repo").alias("root"), k.alias("line_no"), F.concat(letter, F.when((k % 6).isin(3, 4), F.concat(t, F.lit("old/"), k.cast("string"))).otherwise(""), t, name).alias("line"))
+
+
+def file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named nodes of the files' syntax trees: a part is a function of twenty lines, most with a function inside."""
+    k, line = F.col("p_partkey"), F.col("p_partkey") * 20
+    word = lambda c, *xs: F.array(*map(F.lit, xs))[(c % len(xs)).cast("int")]
+    none = F.array().cast("array<string>")
+
+    def node(no: int, kind, rgt: int, first: int, last: int, when=None, operators=None) -> Column:
+        """A node at ``no`` in the order of the function's nodes, up to the bound ``rgt``."""
+        one = F.struct((k * 20 + no).alias("lft"), (k * 20 + rgt).alias("rgt"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("type"), (operators if operators is not None else none).alias("operators"), (line + first).alias("start_line"), (line + last).alias("end_line"))
+        return one if when is None else F.when(when, one)
+
+    tree = F.array(
+        node(0, "function_declaration", 19, 0, 17),
+        node(1, word(k, "if_statement", "if_expression", "switch_statement"), 4, 1, 8),
+        node(2, "for_statement", 3, 2, 5, k % 2 == 0),
+        node(5, word(k, "arrow_function", "lambda", "method_definition"), 12, 9, 15, k % 3 != 0),
+        node(6, word(k, "binary_expression", "boolean_operator"), 7, 10, 10, k % 3 != 0, F.array(word(k, "&&", "and", "or", "+", "||"))),
+        node(8, word(k, "while_statement", "while_expression"), 11, 11, 14, k % 3 != 0),
+        node(9, "catch_clause", 10, 12, 13, (k % 3 != 0) & (F.col("p_size") % 2 == 0)),
+    )
+    rows = table(spark, sf_dir, "part").select(_file_of().alias("file"), word(k, "typescript", "lua", "python", "rust", "ruby").alias("lang"), F.inline(F.array_compact(tree)))
+    start = (F.col("start_line") % 3).alias("start_char")
+    return rows.select("file", F.concat("file", F.lit("#"), F.col("lft").cast("string")).alias("node_id"), "lang", "type", "operators", "lft", "rgt", "start_line", start, "end_line", F.lit(40).alias("end_char"))
+
+
+def _file_of() -> Column:
+    k = F.col("p_partkey")
+    return F.concat(F.lit("file:///repo_"), (k % 3).cast("string"), F.lit("/tree/"), F.col("p_brand"), F.lit("_"), (k % 5).cast("string"), F.lit(".ts"))
+
+
+def file_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Server symbols of these files: one a part, somewhere in its twenty lines."""
+    k = F.col("p_partkey")
+    at = k * 20 + k % 20
+    zero = F.lit(0).cast("long")
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), (k % 26 + 1).alias("kind"), _file_of().alias("uri"), at.alias("start_line"), (k % 4).alias("start_char"), (at + 1).alias("end_line"), zero.alias("end_char"))
+    return rows.withColumn("symbol_id", symbol_id(F.col("uri"), F.col("name"), F.col("kind"), *map(F.col, PLACE)))

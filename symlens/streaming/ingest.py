@@ -1,9 +1,10 @@
 """Incremental upserts with Structured Streaming.
 
-A stream of symbol rows replaces the symbols of each URI it names. Within a
-micro-batch the latest version of a URI wins; a row without a name is a
-tombstone. The table is kept in versioned folders: a batch writes the one of its
-number from the one before, so that a batch run again gives the same table.
+A stream of symbol rows replaces the symbols of each URI it names, by version: the
+greatest ``seq`` of a URI counts, within a micro-batch and across them. A row
+without a name is a tombstone. The table is a
+:class:`~symlens.streaming.table.VersionedTable`, of which a batch rewrites what it
+touches; a batch run again changes nothing.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from symlens.operators.store import replace_symbols
-from symlens.sources import snapshot
+from symlens.streaming.table import VersionedTable
 
 
 class ProgressLog(StreamingQueryListener):
@@ -38,35 +38,23 @@ class ProgressLog(StreamingQueryListener):
         self.tell(f"ended {event.id}" + (f": {event.exception}" if event.exception else ""))
 
 
-def latest_versions(batch: DataFrame) -> DataFrame:
-    """Rows of the greatest ``seq`` of each ``request_uri``; older ones are dropped."""
-    top = batch.groupBy("request_uri").agg(F.max("seq").alias("seq"))
-    return batch.join(top, ["request_uri", "seq"], "left_semi").select(*batch.columns)
+def stream_upserts(spark: SparkSession, rows: DataFrame, path: str, checkpoint: str, initial: DataFrame | None = None, parts: int = 64, **trigger) -> StreamingQuery:
+    """Start a query that keeps the table under ``path``; see :func:`current`.
 
-
-def apply_batch(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """The symbols after a micro-batch."""
-    rows = latest_versions(batch)
-    uris = rows.select(F.col("request_uri").alias("uri")).distinct()
-    return replace_symbols(existing, rows.filter("name IS NOT NULL").drop("seq"), uris)
-
-
-def table_path(path: str, version: int) -> str:
-    return f"{path}/v{version}"
-
-
-def stream_upserts(spark: SparkSession, rows: DataFrame, path: str, checkpoint: str, initial: DataFrame) -> StreamingQuery:
-    """Start a query that keeps the newest table under ``path``; see :func:`current`."""
+    ``initial`` are symbols of no version, older than any, with which a new table
+    begins. ``trigger`` is what the query is started with, all that is there at
+    once by default.
+    """
+    table = VersionedTable(spark, path, parts)
+    if initial is not None and not table.log.versions():
+        table.upsert(initial.withColumn("seq", F.lit(None).cast("long")))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        before = initial if batch_id == 0 else spark.read.parquet(table_path(path, batch_id - 1))
-        apply_batch(before, batch).write.mode("overwrite").parquet(table_path(path, batch_id))
+        VersionedTable(batch.sparkSession, path, parts).upsert_again(batch, checkpoint, batch_id)
 
-    return rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The table after the last whole batch."""
-    fs, p = snapshot._fs(spark, path)
-    done = [int(f.getPath().getName()[1:]) for f in fs.listStatus(p) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(table_path(path, max(done)))
+    return VersionedTable(spark, path).symbols()

@@ -35,6 +35,29 @@ def test_log_to_scores(spark, tmp_path):
     assert small.first().score == 0.4 and git.read_log(spark, {}).count() == 0
 
 
+def test_a_long_log_is_read_in_splits_and_dated_in_blocks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(git, "BLOCK_LINES", 1000)
+    text = "".join(f"{1700000000 + i}\n" if i % 40 == 0 else f"{i % 7}\t-\tsrc/f{i % 90}.ts\r\n" if i % 3 else "\n" for i in range(60_000))
+    (tmp_path / "log").write_text("9\t1\tearly.ts\n" + text)
+    keys = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        read = git.read_log(spark, {"/repo": f"file://{tmp_path}/log"})
+        assert [(r.line_no, r.line.rstrip("\r")) for r in read.orderBy("line_no").collect()] == list(enumerate(("9\t1\tearly.ts\n" + text).replace("\r", "").split("\n")[:-1]))
+        parsed = git.parse_numstat(read)
+        assert parsed.select(F.spark_partition_id()).distinct().count() > 4  # one root, many tasks
+        order = Window.partitionBy("root").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+        plain = read.withColumn("t", F.last(F.when(F.col("line").rlike("^[0-9]+$"), F.col("line").cast("long")), ignorenulls=True).over(order)).filter("line LIKE '%src%' OR line LIKE '%early%'")
+        assert sorted((r.line_no, r.commit_time) for r in parsed.collect()) == sorted((r.line_no, r.t) for r in plain.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_formulas(spark):
     now = 1_700_000_000
     assert one(spark, E.decay(F.lit(now), now)) == 1.0 and one(spark, E.decay(F.lit(now - 30 * 86400), now)) == pytest.approx(0.5)

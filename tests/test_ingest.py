@@ -2,6 +2,7 @@ import json
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from symlens.functions import config, schema
 from symlens.operators import graph, ingest, roots
@@ -67,7 +68,8 @@ def repository(tmp_path):
 
 
 def test_base_files_and_their_symbols(spark, repository):
-    got = git.base_files(spark, str(repository), ["src/old.lua", "never.lua"], "HEAD~1").collect()
+    asked = spark.createDataFrame([(str(repository), p) for p in ("src/old.lua", "never.lua", "src", "a\nb", None)] + [("/nowhere", "b.lua")], "root string, path string")
+    got = git.base_files(asked, "HEAD~1").collect()
     assert [(r.path, r.value, r.uri) for r in got] == [("src/old.lua", "function a()\nend\n", f"file://{repository}/src/old.lua")]
     nodes = spark.createDataFrame([(got[0].uri, 1, "function_declaration", "a", 0, 1, 3), (got[0].uri, 2, "variable_declarator", "v", 0, 1, 3)], "file string, node_id long, type string, name string, start_line long, end_line long, end_char long")
     assert [r.name for r in tree.tree_symbols(nodes, for_diff=True).collect()] == ["a"]
@@ -79,8 +81,40 @@ def test_hotspots_of_each_root(spark, repository):
         got = {r.uri.rsplit("/", 1)[1]: r.score for r in roots.root_hotspots(spark, [str(repository), "/nowhere"], {**options, "use_churn": churn}).collect()}
         assert set(got) == {"old.lua", "b.lua"} and max(got.values()) == 1.0
     assert roots.root_hotspots(spark, [], options).count() == 0
-    lines = git.log_lines(spark, str(repository), ["log", "--numstat", "--format=%ct"], chunk=2)
-    assert [r.line_no for r in lines.orderBy("line_no").collect()] == list(range(lines.count())) and lines.count() > 4
+
+
+def test_logs_are_read_by_tasks(spark, repository, tmp_path_factory):
+    other = tmp_path_factory.mktemp("other")
+    run = lambda *a: subprocess.run(["git", "-C", str(other), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for i in range(7):
+        (other / f"f{i % 3}.lua").write_text("x\n" * (i + 1))
+        run("add", ".")
+        run("commit", "-qm", str(i))
+    roots_ = [str(repository), str(other), "/nowhere", str(tmp_path_factory.mktemp("none"))]
+    lines = git.log_lines(spark, roots_, ["--numstat", "--format=%ct"], commits=2)
+    assert lines.rdd.getNumPartitions() == 1 + 4 + 2  # slices of two commits, and a row for each root that fails
+    failed = lines.filter("line IS NULL").collect()
+    assert {r.root for r in failed} == set(roots_[2:]) and all(r.error for r in failed)
+    for root in roots_[:2]:
+        whole = git.run_git(root, ["log", "--numstat", "--format=%ct"]).splitlines()
+        read = [r.line for r in lines.filter(lines.root == root).orderBy("line_no").collect()]
+        assert [x for x in read if x] == [x for x in whole if x]
+    assert git.parse_numstat(lines).filter("commit_time IS NULL").count() == 0 and git.parse_numstat(lines).count() == 3 + 2 + 7 - 1
+    assert git.numstat_log(spark, []).count() == 0
+
+
+def test_a_bad_answer_leaves_the_others_alone(spark):
+    rows = [("a", '[{"name": "f", "kind": 12, "range": {"start": {"line": 1}}}]'), ("b", '[{"name"'), ("c", '{"name": 1}'), ("d", None), ("e", " []"), ("f", '[1, {"name": "g", "range": {}, "children": [2]}]')]
+    table = spark.createDataFrame(rows, "uri string, value string")
+    assert {(r.uri, r.name) for r in lsp.flatten_json(table).collect()} == {("a", "f"), ("f", "g")}
+    assert {r.uri for r in lsp.readable(table).filter("ok").collect()} == {"a", "e", "f"}
+    manifest = table.selectExpr("'file:///' || uri AS uri", "true AS valid", "'' AS buftype", "'ts' AS filetype", "true AS is_file")
+    at = lambda df: df.withColumn("uri", F.concat(F.lit("file:///"), "uri"))
+    tree_rows = at(table.select("uri")).selectExpr("'t' AS name", "uri", "12L AS kind")
+    run = ingest.index_files(manifest, at(lsp.readable(table)), at(lsp.flatten_json(table)).select("name", "uri", "kind"), tree_rows, parsed=spark.createDataFrame([("file:///c", False), ("file:///d", True), ("file:///a", False)], "uri string, ok boolean"))
+    assert {(r.uri[-1], r.status, r.method) for r in run.status.collect()} == {("a", "indexed", "lsp"), ("b", "indexed", "treesitter"), ("c", "error", "treesitter"), ("d", "indexed", "treesitter"), ("e", "empty", "lsp"), ("f", "indexed", "lsp")}
+    assert run.summary.first().failed_count == 1
 
 
 def test_registry_and_snapshots_of_roots(spark, repository, tmp_path_factory):
