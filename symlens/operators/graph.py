@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symlens.operators.intervals import contains_join
+from symlens.sources import lsp
 from symlens.sources.tables import settle
 
 KEY = ["caller_symbol_id", "callee_symbol_id", "edge_kind"]
@@ -73,12 +77,67 @@ def resolve_items(items: DataFrame, symbols: DataFrame, how: str = "strict") ->
         return items.join(symbols.select("symbol_id").distinct(), "symbol_id", "left_semi")
     if how != "containment":
         raise ValueError(f"how must be strict or containment, got {how}")
+    found = containing_ids(items.select("symbol_id", "name", "uri", "start_line").distinct(), symbols)
+    return items.join(found, "symbol_id").withColumn("symbol_id", F.col("found")).select(*items.columns)
+
+
+def containing_ids(items: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol_id, found): for each item (symbol_id, name, uri, start_line) the smallest symbol of its file and name around its start."""
     around = symbols.select(F.col("symbol_id").alias("found"), "name", "uri", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
-    keyed = items.withColumn("item_id", F.col("symbol_id"))
-    met = keyed.join(around, ["uri", "name"]).filter("from_line <= start_line AND start_line <= to_line")
-    best = met.groupBy("item_id", "uri", "name").agg(F.min_by("found", F.struct(F.col("to_line") - F.col("from_line"), "found")).alias("found"))
-    rows = keyed.join(best, ["item_id", "uri", "name"]).withColumn("symbol_id", F.col("found"))
-    return rows.select(*items.columns)
+    met = contains_join(items, around, ["uri", "name"], "start_line", "from_line", "to_line")
+    return met.groupBy("symbol_id").agg(F.min_by("found", F.struct(F.col("to_line") - F.col("from_line"), F.col("found"))).alias("found"))
+
+
+@dataclass(frozen=True)
+class CentredGraphs:
+    """Rows of the views, by ``center_id`` and in the form of :func:`call_graph`, and the edges to store."""
+
+    items: DataFrame
+    edges: DataFrame
+
+    @property
+    def view(self) -> DataFrame:
+        """Rows in order of centres, sections and counts."""
+        order = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
+        return self.items.orderBy("center_id", order, F.desc("edge_count"), "name", "uri", "start_line", "start_char", "symbol_id")
+
+
+def centred_graphs(centers: DataFrame, answers: DataFrame, symbols: DataFrame | None = None) -> CentredGraphs:
+    """Call graphs around ``centers`` from what a language server answered.
+
+    ``centers`` are symbols; ``answers`` are (center_id, method, value), a method
+    of ``prepare``, ``incoming``, ``outgoing`` and ``references`` and its result
+    as JSON text. Calls count only for a centre that could be prepared; an answer
+    that can't be read has no items. Items of a section with one id are one row,
+    their ranges summed, at least one a call. A centre has a row of its own, with
+    count 0, even if nothing was found. Each range of a call is an edge, from the
+    caller's file, or where it names none from the item's own range; a reference
+    is an edge from its place, which has an id of its own. With ``symbols``,
+    callers and callees whose name and start lie in a symbol of theirs take its id.
+    """
+    ready = answers.filter((F.col("method") == "prepare") & F.col("value").rlike(r"^\s*(\[\s*)?\{")).select("center_id").distinct()
+    calls, refs = None, lsp.references(answers.filter("method = 'references'"))
+    for section in ("incoming", "outgoing"):
+        part = lsp.calls(answers.filter(F.col("method") == section).join(ready, "center_id", "left_semi"), section)
+        calls = part if calls is None else calls.unionByName(part)
+    if symbols is not None:
+        calls = settle(calls)
+        found = containing_ids(calls.select("symbol_id", "name", "uri", "start_line").distinct(), symbols)
+        calls = calls.join(found, "symbol_id", "left").withColumn("symbol_id", F.coalesce("found", "symbol_id")).drop("found")
+    place = ["name", "kind", "container_name", "uri", "start_line", "start_char"]
+    both = calls.withColumn("n", F.greatest(F.size("ranges"), F.lit(1))).select("center_id", "section", "symbol_id", *place, "n").unionByName(refs.select("center_id", "section", "symbol_id", *place, F.lit(1).alias("n")))
+    known = both.join(centers.select(F.col("symbol_id").alias("center_id")).distinct(), "center_id", "left_semi")
+    rows = known.groupBy("center_id", "section", "symbol_id").agg(F.sum("n").alias("edge_count"), F.min(F.struct(*place)).alias("p"))
+    around = rows.select("center_id", "section", "symbol_id", "p.*", "edge_count", (F.col("section") != "reference").alias("expandable"))
+    own = centers.select(F.col("symbol_id").alias("center_id"), F.lit("center").alias("section"), "symbol_id", *place, F.lit(0).cast("long").alias("edge_count"), F.lit(True).alias("expandable"))
+    files = centers.select(F.col("symbol_id").alias("center_id"), F.col("uri").alias("center_uri"))
+    # a call without ranges is evidenced by the item's own
+    ranged = calls.withColumn("at", F.explode(F.when(F.size("ranges") > 0, F.col("ranges")).otherwise(F.array(F.struct(F.col("start_line").alias("line"), F.col("start_char").alias("char")))))).join(files, "center_id")
+    inward = F.col("section") == "incoming"
+    ends = [F.when(inward, F.col("symbol_id")).otherwise(F.col("center_id")).alias("caller_symbol_id"), F.when(inward, F.col("center_id")).otherwise(F.col("symbol_id")).alias("callee_symbol_id")]
+    call_edges = ranged.select(*ends, F.lit("call").alias("edge_kind"), F.when(inward, F.col("uri")).otherwise(F.col("center_uri")).alias("evidence_uri"), F.col("at.line").alias("evidence_line"), F.col("at.char").alias("evidence_char"))
+    ref_edges = refs.join(files, "center_id").select(F.col("symbol_id").alias("caller_symbol_id"), F.col("center_id").alias("callee_symbol_id"), F.lit("reference").alias("edge_kind"), F.col("uri").alias("evidence_uri"), F.col("start_line").alias("evidence_line"), F.col("start_char").alias("evidence_char"))
+    return CentredGraphs(own.unionByName(around), call_edges.unionByName(ref_edges))
 
 
 def filter_view(view: DataFrame, text: str) -> DataFrame:

@@ -175,6 +175,18 @@ MEASURED = f"""WITH p AS (
 )
 """
 
+#: What a language server says of every symbol: calls of those that could be prepared, and references.
+_ANSWERS = """, li AS (
+  SELECT a.symbol_id AS center_id, a.uri AS center_uri, a.part % 5 <> 0 AS ready, b.*, l_orderkey % 500 AS ln, l_linenumber::BIGINT AS ch
+  FROM lineitem JOIN s a ON l_partkey = a.part JOIN s b ON (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) = b.part
+), ans AS (
+  SELECT center_id, center_uri, CASE WHEN ch % 4 = 2 THEN 'outgoing' ELSE 'incoming' END AS section, symbol_id, name, container_name, uri, start_line, start_char, ln, ch, ch % 3 AS n FROM li WHERE ready AND ch % 4 < 3
+), refs AS (
+  SELECT center_id, center_uri, 'reference' AS section, sha256(concat_ws(':', uri, place, 13, ln, ch, ln, ch + 3)) AS symbol_id, place AS name, substr(uri, 8) AS container_name, uri, ln AS start_line, ch AS start_char, ln, ch, 1 AS n
+  FROM (SELECT *, regexp_extract(uri, '[^/]*$') || ':' || (ln + 1) || ':' || (ch + 1) AS place FROM li WHERE ch % 4 = 3)
+)
+"""
+
 #: Files by their number: which symbols, the server's or the tree's, a file takes.
 _FILES = """, num_of AS (
   SELECT DISTINCT uri, regexp_extract(uri, '_([0-9]+)[.]ts$', 1)::INT AS k FROM s
@@ -248,6 +260,13 @@ def oracle_sql() -> dict[str, str]:
         "index_files_status": _views(_FILES + "SELECT uri, CASE WHEN method IS NULL THEN 'skipped' WHEN count(symbol_id) > 0 THEN 'indexed' ELSE 'empty' END AS status, method, count(symbol_id) AS symbol_count FROM file LEFT JOIN got USING (uri, method) GROUP BY uri, method"),
         "index_files_metrics": MEASURED + "SELECT sha256(concat_ws(':', uri, name, kind, sl, sc, el, ec)) AS symbol_id, uri, method, kind, sl AS start_line, cc::BIGINT AS cyclomatic_complexity, loc AS lines_of_code, depth AS nesting_depth FROM got LEFT JOIN fig ON fig.lft = node AND fig.file = uri",
         "index_files_errors": MEASURED + "SELECT count(*) FILTER (method IS NOT NULL) AS target_count, count(*) FILTER (method IS NOT NULL AND NOT failed AND n > 0) AS indexed_count, count(*) FILTER (method IS NOT NULL AND NOT failed AND n = 0) AS empty_count, count(*) FILTER (failed) AS failed_count, count(*) FILTER (method IS NULL) AS skipped_count FROM (SELECT *, (SELECT count(*) FROM got WHERE uri = file) AS n FROM st)",
+        "graph_from_answers": _views(_ANSWERS + " SELECT symbol_id AS center_id, 'center' AS section, symbol_id, name, container_name, 0 AS edge_count, true AS expandable FROM s UNION ALL SELECT center_id, section, symbol_id, name, any_value(container_name), sum(greatest(n, 1))::BIGINT, section <> 'reference' FROM (SELECT * FROM ans UNION ALL SELECT * FROM refs) GROUP BY ALL"),
+        "graph_answer_edges": _views(_ANSWERS + " SELECT caller_symbol_id, callee_symbol_id, edge_kind, count(*) AS n, min(uri) AS uri, sum(l)::BIGINT AS lines, sum(c)::BIGINT AS chars FROM (SELECT CASE WHEN section = 'outgoing' THEN center_id ELSE symbol_id END AS caller_symbol_id, CASE WHEN section = 'outgoing' THEN symbol_id ELSE center_id END AS callee_symbol_id, CASE WHEN section = 'reference' THEN 'reference' ELSE 'call' END AS edge_kind, CASE WHEN section = 'outgoing' THEN center_uri ELSE uri END AS uri, CASE WHEN n = 0 THEN start_line ELSE ln + j END AS l, CASE WHEN n = 0 THEN start_char ELSE ch END AS c FROM (SELECT *, unnest(range(greatest(n, 1))) AS j FROM (SELECT * FROM ans UNION ALL SELECT * FROM refs))) GROUP BY ALL"),
+        "reference_places": _views(_ANSWERS + " SELECT center_id, substr(uri, 8) AS filename, ln + 1 AS lnum, ch + 1 AS col FROM refs"),
+        "parse_diff": "WITH f AS (SELECT event_id % 4 AS r, event_id * 3 AS no, CASE WHEN event_id % 70 = 0 THEN NULL ELSE 'src/f' || (event_id % 1000) || '.ts' END AS path FROM events WHERE event_id % 10 < 4), h AS (SELECT event_id % 4 AS r, event_id * 3 + 1 AS no, event_id % 300 AS first, CASE WHEN event_id % 3 = 0 THEN 1 ELSE event_id % 3 END AS n FROM events) SELECT '/repo_' || h.r AS root, 'file:///repo_' || h.r || '/' || path AS uri, first, first + n - 1 AS last FROM h ASOF JOIN f ON h.r = f.r AND h.no >= f.no WHERE path IS NOT NULL",
+        "parse_names": "SELECT '/repo_' || (l_orderkey % 16) AS root, 'src/f' || p || '.ts' AS path, count(*)::DOUBLE AS score FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL) GROUP BY ALL",
+        "lsp_flatten_json": _views("SELECT sha256(concat_ws(':', uri, name, kind, start_line, start_char, end_line, end_char)) AS symbol_id, name, kind, container_name, uri, depth FROM (SELECT CASE WHEN depth = 2 THEN 'in_' || name ELSE name END AS name, CASE WHEN depth = 2 THEN 13 ELSE kind END AS kind, CASE WHEN k % 4 = 0 THEN NULL ELSE container_name END AS container_name, uri, start_line, start_char, end_line, end_char, depth FROM (SELECT *, regexp_extract(uri, '_([0-9]+)[.]ts$', 1)::INT AS k FROM s), range(1, 3) t(depth) WHERE k % 7 <> 3 AND (depth = 1 OR k % 4 = 0))"),
+        "snapshot_round_trip": _views("SELECT symbol_id, uri, kind, round(CASE WHEN uri LIKE 'file:///repo_1/%' THEN score / 2 ELSE score END, 6) AS score FROM s LEFT JOIN hot USING (uri) WHERE uri LIKE 'file:///repo_0/%' OR uri LIKE 'file:///repo_1/%'"),
         "index_files_summary": _views(_FILES + "SELECT count(method) AS target_count, count(*) FILTER (method IS NOT NULL AND n > 0) AS indexed_count, count(*) FILTER (method IS NOT NULL AND n = 0) AS empty_count, 0 AS failed_count, count(*) FILTER (method IS NULL) AS skipped_count FROM (SELECT uri, method, (SELECT count(*) FROM got WHERE got.uri = file.uri) AS n FROM file)"),
         "roots_listing": _views("SELECT DISTINCT '/repo_' || (part % 3) AS root FROM s"),
         "ensure_ids": _views("SELECT part, symbol_id, 0 AS end_char FROM s"),

@@ -458,6 +458,70 @@ def preview_window(spark, sf_dir):
     return tree.preview(docs, 4, 4, 2).select(F.col("path").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), F.length("line").cast("long").alias("n"))
 
 
+@registered
+def graph_from_answers(spark, sf_dir):
+    """The call graph around every symbol, from JSON answers."""
+    graphs = graph.centred_graphs(W.symbols(spark, sf_dir), W.graph_answers(spark, sf_dir))
+    return graphs.items.select("center_id", "section", "symbol_id", "name", "container_name", "edge_count", "expandable")
+
+
+@registered
+def graph_answer_edges(spark, sf_dir):
+    """The edges that these graphs give the store, calls by the symbols that hold them."""
+    s = W.symbols(spark, sf_dir)
+    edges = graph.centred_graphs(s, W.graph_answers(spark, sf_dir), s).edges
+    return edges.groupBy("caller_symbol_id", "callee_symbol_id", "edge_kind").agg(F.count("*").alias("n"), F.min("evidence_uri").alias("uri"), F.sum("evidence_line").alias("lines"), F.sum("evidence_char").alias("chars"))
+
+
+@registered
+def reference_places(spark, sf_dir):
+    """References as 1-based places in files."""
+    answers = W.graph_answers(spark, sf_dir).filter("method = 'references'")
+    kind = "array<struct<uri:string,range:struct<start:struct<line:bigint,character:bigint>,end:struct<line:bigint,character:bigint>>>>"
+    found = answers.select("center_id", F.inline(F.from_json("value", kind)))
+    return lsp.reference_places(found)
+
+
+@registered
+def parse_diff(spark, sf_dir):
+    return git.parse_diff(W.diff_lines(spark, sf_dir)).select("root", "uri", "first", "last")
+
+
+@registered
+def parse_names(spark, sf_dir):
+    """Commits of each file from a name-only log: the counts' log without its counts."""
+    lines = W.log_lines(spark, sf_dir).select("root", "line_no", F.when(F.col("line").contains("\t"), F.element_at(F.split("line", "\t"), -1)).otherwise("").alias("line"))
+    return hotspots.commit_scores(git.parse_names(lines))
+
+
+@registered
+def lsp_flatten_json(spark, sf_dir):
+    """Both shapes of answers as JSON text, some of which can't be read."""
+    s = W.symbols(spark, sf_dir)
+    point = lambda a, b: F.struct(F.col(a).alias("line"), F.col(b).alias("character"))
+    span = F.struct(point("start_line", "start_char").alias("start"), point("end_line", "end_char").alias("end")).alias("range")
+    nested = F.struct("name", "kind", span, F.array(F.struct(F.concat(F.lit("in_"), "name").alias("name"), F.lit(13).alias("kind"), span)).alias("children"))
+    flat = F.struct("name", "kind", F.col("container_name").alias("containerName"), F.struct("uri", span).alias("location"))
+    lists = s.groupBy("uri").agg(F.to_json(F.collect_list(nested)).alias("nested"), F.to_json(F.collect_list(flat)).alias("flat"))
+    k = F.regexp_extract("uri", r"_(\d+)\.ts$", 1).cast("int")
+    value = F.when(k % 4 == 0, "nested").otherwise("flat")
+    answers = lists.select("uri", F.when(k % 7 == 3, F.lit('[{"name": "x"')).when(value == "nested", F.col("nested")).otherwise(F.col("flat")).alias("value"))
+    return lsp.flatten_json(answers).select("symbol_id", "name", "kind", "container_name", "uri", F.size("path").cast("long").alias("depth"))
+
+
+@registered
+def snapshot_round_trip(spark, sf_dir):
+    """A root's snapshot written, written again with other scores, read, and merged into the store of another root."""
+    path = scratch(spark)
+    whole = store.SymbolStore(spark, W.symbols(spark, sf_dir).drop("part"), W.edge_rows(spark, sf_dir).limit(0), W.hot(spark, sf_dir))
+    whole.save(path, "file:///repo_1/")
+    halved = whole.set_hotspots(whole.hotspots.select("uri", (F.col("score") / 2).alias("score")))
+    halved.save(path, "file:///repo_1/")
+    other = store.SymbolStore(spark, whole.symbols.filter("uri LIKE 'file:///repo_0/%'"), whole.edges, whole.hotspots.filter("uri LIKE 'file:///repo_0/%'"))
+    merged = other.merge(path)
+    return merged.symbols.select("symbol_id", "uri", "kind").join(merged.hotspots, "uri", "left").select("symbol_id", "uri", "kind", r6("score"))
+
+
 @registered
 def stream_upsert(spark, sf_dir):
     """All events through a streaming query, some files at a time in any order; the result is the table after the last batch."""

@@ -217,3 +217,32 @@ def file_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0).cast("long")
     rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), (k % 26 + 1).alias("kind"), _file_of().alias("uri"), at.alias("start_line"), (k % 4).alias("start_char"), (at + 1).alias("end_line"), zero.alias("end_char"))
     return rows.withColumn("symbol_id", symbol_id(F.col("uri"), F.col("name"), F.col("kind"), *map(F.col, PLACE)))
+
+
+def graph_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(center_id, method, value): JSON answers about every symbol, a call or reference a line item; a fifth can't be prepared."""
+    s = symbols(spark, sf_dir)
+    items, size = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"))
+    rows = items.join(F.broadcast(size)).select(F.col("l_partkey").alias("c"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("n_parts")).alias("part"), (F.col("l_orderkey") % 500).alias("at"), F.col("l_linenumber").cast("long").alias("no"))
+    rows = rows.join(s, "part").join(s.select(F.col("part").alias("c"), F.col("symbol_id").alias("center_id")), "c")
+    point = lambda line, char: F.struct(line.alias("line"), char.alias("character"))
+    span = lambda line, char, to, end: F.struct(point(line, char).alias("start"), point(to, end).alias("end"))
+    c, zero = F.col, F.lit(0).cast("long")
+    item = F.struct("name", "kind", c("container_name").alias("detail"), "uri", span(c("start_line"), c("start_char"), c("end_line"), zero).alias("selectionRange"))
+    places = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), 1, (c("no") % 3).cast("int")), lambda j: span(c("at") + j, c("no"), c("at") + j, c("no") + 1))
+    of = lambda method, some, x: rows.filter(some).groupBy("center_id").agg(F.to_json(F.collect_list(x)).alias("value")).select("center_id", F.lit(method).alias("method"), "value")
+    incoming = of("incoming", c("no") % 4 < 2, F.struct(item.alias("from"), places.alias("fromRanges")))
+    outgoing = of("outgoing", c("no") % 4 == 2, F.struct(item.alias("to"), places.alias("fromRanges")))
+    references = of("references", c("no") % 4 == 3, F.struct("uri", span(c("at"), c("no"), c("at"), c("no") + 3).alias("range")))
+    prepared = s.select(c("symbol_id").alias("center_id"), F.lit("prepare").alias("method"), F.when(c("part") % 5 != 0, F.to_json(F.array(F.struct("name", "kind", "uri")))).otherwise("null").alias("value"))
+    return prepared.unionByName(incoming).unionByName(outgoing).unionByName(references)
+
+
+def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(root, line_no, line): diffs of four roots, an event a hunk; every tenth begins a file, and some files are gone."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    file = F.when(k % 70 == 0, F.lit("+++ /dev/null")).otherwise(F.concat(F.lit("+++ b/src/f"), (k % 1000).cast("string"), F.lit(".ts")))
+    head = e.filter(k % 10 < 4).select((k % 4).alias("r"), (k * 3).alias("line_no"), file.alias("line"))
+    hunk = e.select((k % 4).alias("r"), (k * 3 + 1).alias("line_no"), F.concat(F.lit("@@ -1 +"), (k % 300 + 1).cast("string"), F.when(k % 3 > 0, F.concat(F.lit(","), (k % 3).cast("string"))).otherwise(""), F.lit(" @@ x")).alias("line"))
+    text = e.filter(k % 2 == 0).select((k % 4).alias("r"), (k * 3 + 2).alias("line_no"), F.lit("+++b/no.ts").alias("line"))
+    return head.unionByName(hunk).unionByName(text).select(F.concat(F.lit("/repo_"), F.col("r").cast("string")).alias("root"), "line_no", "line")

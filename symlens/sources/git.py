@@ -92,6 +92,15 @@ def parse_hunks(lines: DataFrame, line_col: str = "line") -> DataFrame:
     return found.filter("__count > 0").withColumn("last", F.col("first") + F.col("__count") - 1).drop("__count")
 
 
+def parse_diff(lines: DataFrame) -> DataFrame:
+    """(root, uri, repo_path, first, last) of a diff of many files: a line ``+++ b/path`` names the file of the hunks below it."""
+    header = r"^\+\+\+ (?:b/)?([^\t]+)"
+    marked = lines.withColumn("__path", F.when(F.col("line").rlike(r"^\+\+\+ (b/|/dev/null)"), F.regexp_extract("line", header, 1)))
+    within = carried_forward(marked, ["root"], ["line_no"], F.floor(F.col("line_no") / BLOCK_LINES), "__path", "repo_path")
+    rows = parse_hunks(within.filter("repo_path <> '/dev/null'"))
+    return rows.select("root", E.file_uri(F.concat("root", F.lit("/"), "repo_path")).alias("uri"), "repo_path", "first", "last")
+
+
 def run_git(root: str, arguments: Sequence[str]) -> str:
     """A git command's output, for commands whose answer is short."""
     return subprocess.run(["git", "-C", root, *arguments], capture_output=True, text=True, check=True).stdout
@@ -107,9 +116,10 @@ class LogSlice(InputPartition):
 class GitLog(DataSource):
     """Logs of repositories in a folder that all executors see: (root, line_no, line, error).
 
-    Options: ``roots``, a JSON array of paths; ``arguments``, a JSON array of
-    what follows ``git log``; ``commits`` of a slice. The driver asks each root
-    for the number of its commits only. A root that fails gives one row, with its
+    Options: ``roots``, a JSON array of paths; ``command``, ``log`` unless it is
+    another one whose output is a root's one slice; ``arguments``, a JSON array of
+    what follows it; ``commits`` of a slice. The driver asks each root for the
+    number of its commits only. A root that fails gives one row, with its
     ``error`` and no line. Line numbers rise within a root and have gaps between
     slices.
     """
@@ -128,7 +138,7 @@ class GitLog(DataSource):
 class GitLogReader(DataSourceReader):
     def __init__(self, options: dict):
         self.roots, self.arguments = json.loads(options["roots"]), json.loads(options.get("arguments", "[]"))
-        self.commits = int(options.get("commits", 10_000))
+        self.commits, self.command = int(options.get("commits", 10_000)), options.get("command", "log")
 
     def partitions(self) -> Sequence[InputPartition]:
         out: list[InputPartition] = []
@@ -139,7 +149,8 @@ class GitLogReader(DataSourceReader):
             except (OSError, subprocess.CalledProcessError) as e:
                 out.append(LogSlice(root, 0, None, 0, (getattr(e, "stderr", None) or str(e)).strip()))
                 continue
-            out += [LogSlice(root, no, at, self.commits) for no, at in enumerate(range(0, n, self.commits))]
+            starts = range(0, n, self.commits) if self.command == "log" else [0]
+            out += [LogSlice(root, no, at, self.commits) for no, at in enumerate(starts)]
         return out or [LogSlice("", 0, 0, 0)]
 
     def read(self, part: LogSlice) -> Iterator[tuple]:
@@ -148,18 +159,19 @@ class GitLogReader(DataSourceReader):
             return
         if not part.size:
             return
-        command = ["git", "-C", part.root, "log", *self.arguments, f"--skip={part.at}", f"--max-count={part.size}"]
+        slice_ = [f"--skip={part.at}", f"--max-count={part.size}"] if self.command == "log" else []
+        command = ["git", "-C", part.root, self.command, *self.arguments, *slice_]
         with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, errors="replace") as run:
             for i, line in enumerate(run.stdout):
                 yield part.root, part.no << 40 | i, line.rstrip("\n"), None
         if run.returncode:
-            raise RuntimeError(f"git log of {part.root} failed after it had begun")  # the task is tried again
+            raise RuntimeError(f"git {self.command} of {part.root} failed after it had begun")  # the task is tried again
 
 
-def log_lines(spark: SparkSession, roots: Sequence[str], arguments: Sequence[str], commits: int = 10_000) -> DataFrame:
-    """(root, line_no, line, error) of ``git log`` with ``arguments``, read by tasks; see :class:`GitLog`."""
+def log_lines(spark: SparkSession, roots: Sequence[str], arguments: Sequence[str], commits: int = 10_000, command: str = "log") -> DataFrame:
+    """(root, line_no, line, error) of ``git log``, or another command, with ``arguments``, read by tasks; see :class:`GitLog`."""
     spark.dataSource.register(GitLog)
-    return spark.read.format("git_log").option("roots", json.dumps(list(roots))).option("arguments", json.dumps(list(arguments))).option("commits", commits).load()
+    return spark.read.format("git_log").option("command", command).option("roots", json.dumps(list(roots))).option("arguments", json.dumps(list(arguments))).option("commits", commits).load()
 
 
 def numstat_log(spark: SparkSession, roots: Sequence[str], since: str = "3 months ago") -> DataFrame:
@@ -167,6 +179,12 @@ def numstat_log(spark: SparkSession, roots: Sequence[str], since: str = "3 month
     return log_lines(spark, roots, ["--numstat", "--format=%ct", f"--since={since}"])
 
 
+def diff_of(spark: SparkSession, roots: Sequence[str], arguments: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Changed files, as :func:`parse_name_status`, and their changed ranges, as :func:`parse_diff`, of the diff that ``arguments`` select."""
+    text = lambda *flags: log_lines(spark, roots, [*flags, *arguments], command="diff").filter("line IS NOT NULL")
+    return parse_name_status(text("--name-status", "--find-renames")), parse_diff(text("--unified=0", "--no-color", "--no-ext-diff"))
+
+
 def _objects(root: str, names: Sequence[str]) -> Iterator[bytes | None]:
     """What git holds under each name, null where it holds no file; one process, a name at a time."""
     with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:

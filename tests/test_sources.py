@@ -34,7 +34,9 @@ def test_call_hierarchy_items_and_resolution(spark):
     with pytest.raises(ValueError, match="strict"):
         graph.resolve_items(items, s, "x")
     places = spark.createDataFrame([("file:///r", whole), ("http://x", whole)], f"uri string, `range` {rng}")
-    assert lsp.reference_items(places).count() == 1
+    named = {(r.name, r.kind, r.container_name, r.uri) for r in lsp.reference_items(places).collect()}
+    assert named == {("r:1:1", 13, "/r", "file:///r"), ("x:1:1", 13, "http://x", "http://x")}
+    assert [tuple(r) for r in lsp.reference_places(places).collect()] == [("/r", 1, 1)]
 
 
 def test_git_commands(spark, tmp_path):

@@ -3,8 +3,9 @@ import pytest
 from symlens.functions.schema import EDGES, SYMBOLS, kind_id, kind_name, symbol_id
 from symlens.operators import graph
 from symlens.operators.search import postings
-from symlens.operators.store import SymbolStore, rooted
+from symlens.operators.store import SymbolStore, rooted, stats_by_root
 from symlens.sources import snapshot
+from symlens.sources.commits import CommitLog
 from pyspark.sql import functions as F
 from tests.test_search import rows
 
@@ -98,15 +99,62 @@ def test_snapshots(spark, tmp_path):
     merged = store(spark, [("old", 12, None, "file:///repo_a/x"), ("own", 12, None, "file:///repo_c/z")]).merge(f"{path}-a")
     assert {r.name for r in merged.symbols.collect()} == {"foo", "own"}
     assert snapshot.copy(spark, path, f"{path}-cache") and not snapshot.copy(spark, f"{path}-none", f"{path}-x")
-    assert [p.name for p in tmp_path.iterdir() if "." in p.name.lstrip(".")] == []
     a, b = snapshot.scoped_path("/c", "/w/my proj", "/w/tree1"), snapshot.scoped_path("/c", "/w/my proj", "/w/tree2")
     assert a.split("/")[2] == b.split("/")[2] and a != b and "my_proj-" in a
 
 
 def test_other_versions_are_refused(spark, tmp_path):
-    spark.createDataFrame([('{"version": 9, "tables": []}',)], "value string").write.text(f"{tmp_path}/s/manifest")
+    CommitLog(spark, f"file://{tmp_path}/s").commit(0, {"version": 9, "tables": {}})
     with pytest.raises(ValueError, match="version"):
         SymbolStore.load(spark, f"file://{tmp_path}/s")
+    with pytest.raises(FileNotFoundError):
+        SymbolStore.load(spark, f"file://{tmp_path}/none")
+
+
+def test_only_changed_parts_of_a_snapshot_are_written(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    rows = spark.range(500).select(F.concat(F.lit("file:///f"), F.col("id").cast("string")).alias("uri"), (F.col("id") / 7).alias("score"))
+    assert snapshot.write(spark, path, {"hotspots": rows}) == 16
+    assert snapshot.write(spark, path, {"hotspots": rows.repartition(3).orderBy("score")}) == 0  # the order of rows is no change
+    moved = rows.withColumn("score", F.when(F.col("uri") == "file:///f3", 9.0).otherwise(F.col("score")))
+    assert snapshot.write(spark, path, {"hotspots": moved}) == 1
+    assert sorted(snapshot.read(spark, path)["hotspots"].collect()) == sorted(moved.collect())
+    assert snapshot.copy(spark, path, f"{path}-b") and snapshot.drop_unused(spark, path) == []
+    assert snapshot.write(spark, path, {"hotspots": moved.filter("score < 0")}) == 0 and snapshot.read(spark, path)["hotspots"].count() == 0
+    assert len(snapshot.drop_unused(spark, path)) == 2 and snapshot.read(spark, f"{path}-b")["hotspots"].count() == 500
+
+
+def test_a_crash_before_the_commit_leaves_the_snapshot(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/s"
+    rows = spark.createDataFrame([("u", 1.0)], "uri string, score double")
+    snapshot.write(spark, path, {"hotspots": rows})
+    for step in ("_digests", "CommitLog.commit", "CommitLog._at"):
+        with monkeypatch.context() as m:
+            owner, name = (CommitLog, step.split(".")[1]) if "." in step else (snapshot, step)
+            m.setattr(owner, name, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                snapshot.write(spark, path, {"hotspots": rows.withColumn("score", F.lit(2.0))})
+        assert snapshot.read(spark, path)["hotspots"].first().score == 1.0
+    snapshot.write(spark, path, {"hotspots": rows.withColumn("score", F.lit(2.0))})
+    assert snapshot.read(spark, path)["hotspots"].first().score == 2.0
+
+
+def test_roots_are_found_by_prefix(spark):
+    """10^5 nested and neighbouring roots; no pair of a row and a root is tried."""
+    n = 100_000
+    roots = spark.range(n).select(F.concat(F.lit("r"), "id").alias("name"), F.concat(F.lit("file:///"), F.col("id") % 300, F.lit("/"), F.when(F.col("id") >= 300, F.concat("id", F.lit("/"))).otherwise("")).alias("uri_prefix"))
+    files = spark.range(2000).select(F.concat(F.lit("file:///"), F.col("id") % 300, F.lit("/"), "id", F.lit("/x.ts")).alias("uri"))
+    got = rooted(files, roots, F.col("uri"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    for r in got.collect():
+        a, b = r.uri.split("/")[3:5]
+        assert r.root == ("r" + b if int(b) >= 300 else "r" + a)
+    few = spark.createDataFrame([("all", ""), ("twin", "file:///1/"), ("two", "file:///1/"), ("none", "x"), ("null", None)], "name string, uri_prefix string")
+    assert {r.root for r in rooted(files, few, F.col("uri")).collect()} == {"all", "two"}
+    assert rooted(files, few.limit(0), F.col("uri")).filter("root IS NULL").count() == 2000
+    counts = stats_by_root(files.select(F.col("uri").alias("request_uri")), spark.createDataFrame([("file:///1/a", 0.5)], "uri string, score double"), few)
+    assert {tuple(r) for r in counts.collect()} == {("all", 2000, 2000, 1), ("twin", 7, 7, 1), ("two", 7, 7, 1), ("none", 0, 0, 0), ("null", 0, 0, 0)}
 
 
 def test_kind_names(spark):
