@@ -1,14 +1,18 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
 Documents are paired that share a key few of them hold, each with every earlier
-holder. A frequent key would make too many pairs, so each of its holders is
-paired with the first one alone, which is linear. Keys are lines, or with
+holder. Pairs are aligned by patience diff on line hashes, and aligned common
+blocks of enough words are deleted from the later document. Keys are lines, or with
 ``runs`` the least runs of consecutive lines that reach ``min_words``, from each
-line on and up to each line. A line of a block of enough words lies in such a run
-inside the block, so its later copies meet the first holder of that run however
-many documents hold the block's lines; with lines alone that holds only for
-blocks of one line. Pairs are aligned by patience diff on line hashes, and
-aligned common blocks of enough words are deleted from the later document. Texts
+line on and up to each line.
+
+An alignment rises on both sides, so it leaves one of two blocks that cross; and a
+frequent key would make too many pairs. With ``runs`` a run that an earlier
+document holds therefore goes from each later holder by itself, in linear work and
+however many hold it. Each line of a block of enough words lies in such a run
+inside the block, so that every block of consecutive lines that an earlier document
+has is deleted, and nothing else; which pairs were aligned changes nothing. With
+lines alone, holders of a frequent line are aligned with its first holder. Texts
 themselves are moved once, when the deletions meet them.
 """
 
@@ -124,8 +128,8 @@ def _align(min_words: int):
     return run
 
 
-def run_keys(hashes: list[int], words: list[int], min_words: int) -> set[int]:
-    """Keys of the least runs of ``min_words`` words that start or end at each line; a run of one line has the line's hash."""
+def runs_of(hashes: list[int], words: list[int], min_words: int) -> dict[int, list[tuple[int, int]]]:
+    """Keys of the least runs of ``min_words`` words that start or end at each line, with the places [start, end) of each; a run of one line has the line's hash."""
     packed, n = array("q", hashes).tobytes(), len(hashes)
     spans: set[tuple[int, int]] = set()
     need, held, first = max(min_words, 1), 0, 0
@@ -144,16 +148,25 @@ def run_keys(hashes: list[int], words: list[int], min_words: int) -> set[int]:
             held -= words[last]
         if held >= need:
             spans.add((start, last))
-    return {hashes[i] if j == i + 1 else xxhash.xxh64_intdigest(packed[8 * i : 8 * j]) - (1 << 63) for i, j in spans}
+    out: dict[int, list[tuple[int, int]]] = {}
+    for i, j in spans:
+        out.setdefault(hashes[i] if j == i + 1 else xxhash.xxh64_intdigest(packed[8 * i : 8 * j]) - (1 << 63), []).append((i, j))
+    return out
+
+
+def run_keys(hashes: list[int], words: list[int], min_words: int) -> set[int]:
+    """The keys of :func:`runs_of`."""
+    return set(runs_of(hashes, words, min_words))
 
 
 def _run_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [run_keys(h, w, min_words) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [runs_of(h, w, min_words) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             at = np.repeat(np.arange(len(found)), [len(x) for x in found])
             h = pa.array([k for x in found for k in x], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), h], ["key", "fp", "h"])
+            ends = [pa.array([[p[side] for p in places] for x in found for places in x.values()], pa.list_(pa.int32())) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), h, *ends], ["key", "fp", "h", "starts", "stops"])
 
     return run
 
@@ -173,7 +186,7 @@ def line_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("key", "fp", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, WHITE)))).alias("words"))
     nodes = materialize(rows.dropDuplicates(["key", "fp"]), "line-nodes")
     if runs:
-        held = nodes.select("key", "fp", "hashes", "words").mapInArrow(_run_rows(min_words), "key long, fp long, h long")
+        held = nodes.select("key", "fp", "hashes", "words").mapInArrow(_run_rows(min_words), "key long, fp long, h long, starts array<int>, stops array<int>")
     else:
         held = nodes.select("key", "fp", F.explode(F.array_distinct(F.filter(F.transform("hashes", lambda h, i: F.when(F.col("words")[i] >= 3, h)), lambda h: h.isNotNull()))).alias("h"))
     # a table of its own, so that the join starts from two exchanges and the rows of a frequent line can be split
@@ -183,12 +196,18 @@ def line_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     before = few.select("h", F.col("key").alias("key0"), F.col("fp").alias("fp0"))
     later = (F.col("key0") < F.col("key")) | ((F.col("key0") == F.col("key")) & (F.col("fp0") < F.col("fp")))
     pairs = few.join(before, "h").filter(later).select("key", "fp", "key0", "fp0")
-    many = shared.filter(F.col("n") > rare).select("key", "fp", F.col("first.key").alias("key0"), F.col("first.fp").alias("fp0")).filter(later)
-    pairs = pairs.union(many).distinct()
+    of_first = shared.select("*", F.col("first.key").alias("key0"), F.col("first.fp").alias("fp0")).filter(later)
+    if not runs:
+        pairs = pairs.union(of_first.filter(F.col("n") > rare).select("key", "fp", "key0", "fp0"))
+    pairs = pairs.distinct()
     left = nodes.select(F.col("key").alias("key0"), F.col("fp").alias("fp0"), F.col("hashes").alias("before"))
     aligned = pairs.join(left, ["key0", "fp0"]).join(nodes, ["key", "fp"]).select("key", "fp", "before", "hashes", "words")
     gone = aligned.mapInArrow(_align(min_words), "key long, fp long, gone array<int>")
-    return gone.select("key", "fp", F.explode("gone").alias("i")).groupBy("key", "fp").agg(F.collect_set("i").alias("gone"))
+    places = gone.select("key", "fp", F.explode("gone").alias("i"))
+    if runs:
+        span = F.transform(F.arrays_zip("starts", "stops"), lambda p: F.sequence(p["starts"], p["stops"] - 1))
+        places = places.union(of_first.select("key", "fp", F.explode(F.flatten(span)).alias("i")))
+    return places.groupBy("key", "fp").agg(F.collect_set("i").alias("gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 10, min_words: int = 8, runs: bool = False) -> DataFrame:
@@ -198,9 +217,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text; rows equal in id and text are one document and stay alike. Lines are
     compared without white space at their ends. A line is deleted if an aligned
     block of at least ``min_words`` words holds it; blocks are judged on the
-    input. With ``runs`` each repeated block meets an earlier holder; without,
-    documents are paired by lines of three words and more, and a block of several
-    frequent lines may be missed. A null text counts as empty and stays null. An
+    input. With ``runs`` every block of consecutive lines that an earlier document
+    has goes, whatever ``rare`` is; without, documents are paired by lines of three
+    words and more, and a block of several frequent lines may be missed. A null text counts as empty and stays null. An
     empty table gives no rows. Columns of ``docs`` called like the three new ones
     give way to them.
     """

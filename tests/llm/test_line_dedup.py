@@ -31,6 +31,30 @@ def brute(rows, rare, min_words):
     return out
 
 
+def brute_runs(rows, min_words):
+    """Every document against all earlier ones: lines of each stretch that both have, without any alignment."""
+    docs = sorted({(i, t or "") for i, t in rows})
+    out = {}
+    for k, (i, t) in enumerate(docs):
+        b, gone = lines_of(t), set()
+        for _, u in docs[:k]:
+            a = lines_of(u)
+            places = {}
+            for m, x in enumerate(a):
+                places.setdefault(x, []).append(m)
+            for j, x in enumerate(b):
+                for m in places.get(x, []):
+                    if m and j and a[m - 1] == b[j - 1]:
+                        continue  # not where the stretch begins
+                    n = 0
+                    while m + n < len(a) and j + n < len(b) and a[m + n] == b[j + n]:
+                        n += 1
+                    if sum(len(y.split()) for y in b[j : j + n]) >= min_words:
+                        gone |= set(range(j, j + n))
+        out[i] = (len(gone), "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone))
+    return out
+
+
 def corpus(seed, n=40):
     r = random.Random(seed)
     pool = [" ".join(r.choice("abcdefgh") + str(r.randrange(30)) for _ in range(r.randrange(1, 9))) for _ in range(60)]
@@ -51,6 +75,32 @@ def test_equals_brute_force(spark, seed, rare, least):
     assert got == brute(rows, rare, least)
 
 
+@pytest.mark.parametrize(("seed", "least"), [(1, 8), (5, 8), (6, 1), (7, 5), (8, 14)])
+def test_runs_equal_brute_force_whatever_is_rare(spark, seed, least):
+    rows = corpus(seed, 30)
+    r = random.Random(seed)
+    blocks = [t.split("\n")[:4] for _, t in rows[:6]]
+    rows += [(100 + i, "\n".join(x for b in r.sample(blocks, 3) for x in b)) for i in range(14)]  # crossing blocks, held by many
+    want = brute_runs(rows, least)
+    for rare in (1, 3, 100):
+        got = {x.doc_id: (x["__n_deleted"], x["__kept_text"] or "") for x in line_dedup(frame(spark, rows), rare=rare, min_words=least, runs=True).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("later", [8, 10, 20])
+def test_crossing_blocks_go_whoever_holds_them(spark, later):
+    block, line = "\n".join(f"block line {k} of the corpus" for k in range(3)), "a line r of nine words in many a text"
+    rows = [(1, f"{block}\n{line}"), (2, line)] + [(3 + i, f"own {i}\n{line}\n{block}\nend {i}") for i in range(later)]
+    got = {r.doc_id: r["__n_deleted"] for r in line_dedup(frame(spark, rows), runs=True).collect()}
+    assert got == {1: 0, 2: 1} | {3 + i: 4 for i in range(later)}
+
+
+def test_one_very_long_line(spark):
+    long = "word " * 300_000
+    rows = [(1, long), (2, f"own words\n{long}\nmore"), (3, "x" * 2_000_000)]
+    assert {r.doc_id: r["__n_deleted"] for r in line_dedup(frame(spark, rows), runs=True).collect()} == {1: 0, 2: 1, 3: 0}
+
+
 def test_patience_rises_on_both_sides_and_matches():
     r = random.Random(0)
     for _ in range(200):

@@ -8,7 +8,7 @@ from symlens.llm.line_dedup import deduplicated
 from symlens.llm.mixing import poisson_steps, rates
 from symlens.llm.quality_rules import judge
 from symlens.llm.queries import SEED, WEIGHTS, vocabulary
-from tests.llm.test_line_dedup import brute as brute_lines
+from tests.llm.test_line_dedup import brute_runs as brute_lines
 from tests.llm.test_mixing import drawn
 from tests.llm.test_simhash import classes, slow
 
@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark):
     assert all(t.columns == columns for t in steps[:4])
     judged = {i: judge(t.encode()) for i, (t, _) in texts.items()}
     assert rows[0] == {i: j[7] for i, j in judged.items() if j[6]}
-    assert rows[1] == {i: t for i, (n, t) in brute_lines(list(rows[0].items()), 10, 8).items() if not n or t.split()}
+    assert rows[1] == {i: t for i, (n, t) in brute_lines(list(rows[0].items()), 8).items() if not n or t.split()}
     prints = {i: slow(t, 5) for i, t in rows[1].items()}
     assert set(rows[2]) == {i for i, c in classes(prints, 4).items() if i == c}
     found = rates(steps[2], WEIGHTS)
