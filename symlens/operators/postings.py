@@ -41,6 +41,7 @@ class PostingIndex:
         self.spark, self.path, self.log = spark, path.rstrip("/"), CommitLog(spark, path)
         _, state = self.log.latest()
         self.buckets, self.shelves = state.get("buckets", buckets), state.get("shelves", shelves)
+        self._read: dict[tuple[str, str], DataFrame] = {}  # a run never changes, so its files are listed once
 
     def runs(self) -> list[dict]:
         """The runs that make up the index, oldest first."""
@@ -57,17 +58,22 @@ class PostingIndex:
 
     def _table(self, name: str, schema: str, runs: list[dict]) -> DataFrame:
         """Rows of a table of these runs, with the ``run`` that they are of."""
-        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{r['folder']}/{name}").withColumn("run", F.lit(r["version"])) for r in runs]
+        parts = []
+        for r in runs:
+            key = (r["folder"], name)
+            if key not in self._read:
+                self._read[key] = self.spark.read.schema(schema).parquet(f"{self.path}/{r['folder']}/{name}")
+            parts.append(self._read[key].withColumn("run", F.lit(r["version"])))
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{schema}, run int")
 
     def _live(self, rows: DataFrame, runs: list[dict]) -> DataFrame:
         """``rows`` (run, request_uri, symbol_id, ...) that no later one of the runs has put an end to."""
         if len(runs) < 2:
             return rows
-        gone = self._table("gone", _GONE, runs[1:])
+        gone = self._table("gone", _GONE, runs[1:]).withColumnRenamed("run", "__later")
         for what, column in (("uri", "request_uri"), ("id", "symbol_id")):
-            last = gone.filter(F.col("what") == what).groupBy(F.col("key").alias(column)).agg(F.max("run").alias("__gone"))
-            rows = rows.join(last, column, "left").filter("__gone IS NULL OR __gone <= run").drop("__gone")
+            ended = gone.filter(F.col("what") == what).select(F.col("key").alias("__key"), "__later")
+            rows = rows.join(ended, (F.col(column) == F.col("__key")) & (F.col("__later") > F.col("run")), "left_anti")
         return rows
 
     def symbols(self) -> DataFrame:
@@ -130,13 +136,21 @@ class PostingIndex:
 
     def merge(self) -> int:
         """Merge the last runs into one where their sizes ask for it; returns how many were."""
-        read, state = self.log.latest()
-        runs = state.get("runs", [])
+        runs = self.runs()
         at, size = len(runs) - 1, runs[-1]["rows"] if runs else 0
         while at > 0 and runs[at - 1]["rows"] <= RATIO * size:
             at -= 1
             size += runs[at]["rows"]
-        some = runs[max(0, at) :]
+        return self._merge(max(0, at))
+
+    def compact(self) -> int:
+        """Merge all runs into one, without tombstones; returns how many there were. Rewrites the whole index."""
+        return self._merge(0)
+
+    def _merge(self, at: int) -> int:
+        read, state = self.log.latest()
+        runs = state.get("runs", [])
+        some = runs[at:]
         if len(some) < 2:
             return 0
         symbols = self._live(self._table("symbols", _SYMBOLS, some), some)
@@ -148,6 +162,7 @@ class PostingIndex:
 
     def drop_unused(self) -> list[str]:
         """Delete runs that the last version doesn't name. Readers of earlier versions must be done."""
+        self._read.clear()
         return self.log.drop_unnamed({r["folder"] for r in self.runs()}, "run-")
 
     def _lengths(self, grams: set[tuple[str, int, str]], runs: list[dict]) -> dict[tuple[str, int, str], int]:
@@ -165,7 +180,7 @@ class PostingIndex:
     def _holders(self, grams: set[tuple[str, int, str]], runs: list[dict]) -> DataFrame:
         """The live symbols in the lists of any of these grams."""
         key = ["run", "request_uri", "symbol_id"]
-        ids = self._live(self._of(self._table("postings", _POSTINGS, runs), grams).select(*key).distinct(), runs)
+        ids = self._live(self._of(self._table("postings", _POSTINGS, runs), grams).select(*key), runs)
         return self._table("symbols", _SYMBOLS, runs).join(ids.select("*", self._shelf()), [*key, "shelf"], "left_semi").drop("run", "shelf")
 
     def search(self, q: str, limit: int = 50, complexity_cap: int = 50, kinds: list[int] | None = None, hotspots: DataFrame | None = None) -> DataFrame:
@@ -188,7 +203,8 @@ class PostingIndex:
         length = self._lengths({g for lists in (whole, letters) for grams in lists.values() for g in grams}, runs)
         shortest = lambda grams: min(grams, key=lambda g: (length.get(g, 0), g))
         direct = [k for k in keys if all(g in length for g in whole[k])]
-        asked = [k for k in direct if len(k[0]) > 1]
+        # a single run has no dead postings, so that the one list of a short token answers for itself
+        asked = [k for k in direct if len(k[0]) > 1 and (len(whole[k]) > 1 or len(runs) > 1)]
         if asked:
             rows = scan.texts(self._holders({shortest(whole[k]) for k in asked}, runs))
             found = rows.agg(*[F.max(_holds(whole[k])).alias(str(i)) for i, k in enumerate(asked)]).first()

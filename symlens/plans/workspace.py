@@ -62,8 +62,8 @@ def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hotspots.normalize(hotspots.churn_scores(numstat(spark, sf_dir), NOW)).select(F.col("path").alias("uri"), "score")
 
 
-#: Where the stored workspace of a session and folder lies.
-_STORED: dict[tuple[str, str], str] = {}
+#: The stored workspace of a session and folder.
+_STORED: dict[tuple[str, str], tuple[PostingIndex, DataFrame]] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str) -> tuple[PostingIndex, DataFrame]:
@@ -85,9 +85,8 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[PostingIndex, DataFrame]:
         index.remove(moved.select("uri").distinct(), merge=False)
         index.upsert(third(2), merge=False)
         hot(spark, sf_dir).write.parquet(f"{path}/hot")
-        _STORED[key] = path
-    path = _STORED[key]
-    return PostingIndex(spark, f"{path}/index"), spark.read.parquet(f"{path}/hot")
+        _STORED[key] = index, spark.read.parquet(f"{path}/hot")
+    return _STORED[key]
 
 
 def edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

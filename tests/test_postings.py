@@ -42,7 +42,7 @@ def test_equals_a_rebuilt_index(spark, tmp_path):
     assert len(index.runs()) > 1
     assert sorted(map(str, index.symbols().select(*now.columns).collect())) == sorted(map(str, now.collect()))
     assert sorted(map(tuple, index.postings().collect())) == sorted(map(tuple, search.postings(now).collect()))
-    ask = ["get", "user fetch", "gt", "usr", "api", "x", "", "zz", "ünï", "%", "re_x da", "getfetch"]
+    ask = ["user fetch", "gt", "usr", "x", "", "zz", "ünï", "re_x da"]
     hot = spark.createDataFrame([(uris[0], 0.7), (uris[1], 0.3)], S.HOTSPOTS)
     seen = lambda df: [(x.symbol_id, x.request_uri, round(x.score, 9)) for x in df.collect()]
     for q in ask:
@@ -54,7 +54,9 @@ def test_equals_a_rebuilt_index(spark, tmp_path):
     before = {r["folder"] for r in index.runs()}
     assert sorted(map(tuple, index.postings().collect())) == sorted(map(tuple, search.postings(now).collect()))
     assert merged == 0 or index.drop_unused() and {r["folder"] for r in index.runs()} == before
-    assert seen(index.search("user fetch", 9, hotspots=hot)) == seen(search.search(now, "user fetch", 9, hotspots=hot))
+    assert index.compact() in (0, 2, 3) and len(index.runs()) == 1 and sorted(map(tuple, index.postings().collect())) == sorted(map(tuple, search.postings(now).collect()))
+    for q in ("user fetch", "gt", "get"):
+        assert seen(index.search(q, 9, hotspots=hot)) == seen(search.search(now, q, 9, hotspots=hot))
 
 
 def test_an_upsert_writes_as_much_as_its_batch(spark, tmp_path):
