@@ -69,14 +69,20 @@ def index_files(manifest: DataFrame, answers: DataFrame, server: DataFrame, tree
     return Indexed(symbols, rows.select("uri", status.alias("status"), "method", "symbol_count"))
 
 
-def upsert_files(store: SymbolStore, indexed: Indexed, again: bool = False) -> SymbolStore:
-    """The store with the run's files replaced; ``again`` removes all other files first, as a full reindex does."""
-    before = store.clear() if again else store
+def upsert_files(store: SymbolStore, indexed: Indexed, again: bool = False, session: DataFrame | None = None) -> SymbolStore:
+    """The store with the run's files replaced.
+
+    ``again``, as a full reindex does, first removes the files that this
+    ``session`` (uri) has indexed; all files of the store where none is given.
+    Files that came by a snapshot alone then stay.
+    """
+    before = store
+    if again:
+        before = store.remove_uris(store.symbols.select(F.col("request_uri").alias("uri")) if session is None else session)
     batch = indexed.symbols.withColumn("request_uri", F.col("uri"))
     missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in store.symbols.schema.fields if f.name not in batch.columns]
     whole = batch.select("*", *missing).select(*store.symbols.columns)
-    done = before.upsert_symbols(whole, indexed.status.filter("status IN ('indexed', 'empty')").select("uri"))
-    return done.set_hotspots(store.hotspots) if again else done
+    return before.upsert_symbols(whole, indexed.status.filter("status IN ('indexed', 'empty')").select("uri"))
 
 
 def with_ids(items: DataFrame) -> DataFrame:

@@ -203,6 +203,7 @@ def oracle_sql() -> dict[str, str]:
     parts = [f"SELECT {i} AS qid, pos AS rank, {_RESULT} FROM ({search_sql(q, hot=True, **o)})" for i, (q, o) in enumerate(BATCH)]
     moved = "SELECT part, sha256(concat_ws(':', uri, name, kind, start_line + 1, start_char, end_line + 1, end_char)) AS symbol_id, uri, start_line + 1 AS start_line FROM s WHERE part % 40 < 13 AND part % 2 = 0"
     out |= {
+        "search_no_kinds": _views(f"SELECT {_RESULT} FROM ({search_sql('b', kinds=[])}) UNION ALL SELECT {_RESULT} FROM ({search_sql('b', kinds=[5, 11, 23])})"),
         "search_scan": _views(f"SELECT {_RESULT} FROM ({search_sql('small ring', hot=True)})"),
         "search_batch_topk": _views(" UNION ALL ".join(parts)),
         "ngrams_distinct": "SELECT doc_id, " + ", ".join(f"CASE WHEN len(l) < {n} THEN 0 ELSE len(list_distinct(list_transform(range(1, len(l) - {n - 2}), lambda i: {' || '.join(f'l[i + {j}]' for j in range(n))}))) END AS n{n}" for n in (1, 2, 3)) + " FROM (SELECT doc_id, string_split(lower(coalesce(text, '')), '') AS l FROM documents)",

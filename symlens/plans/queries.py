@@ -13,7 +13,7 @@ from symlens.operators import diff, graph, hotspots, ingest as files, metrics, p
 from symlens.plans import workspace as W
 from symlens.plans.specs import BATCH, GRADE_TOKENS, SEARCHES
 from symlens.sources import git, lsp, tree
-from symlens.sources.tables import scratch
+from symlens.sources.tables import scratch, settle
 from symlens.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,14 @@ for _name, (_q, _options) in SEARCHES.items():
     REGISTRY[_name] = _search(_q, _options)
 
 
+@registered
+def search_no_kinds(spark, sf_dir):
+    """No kind asked for gives nothing, beside a list of kinds that gives something."""
+    index, _ = W.stored(spark, sf_dir)
+    out = index.search("b", kinds=[]).unionByName(index.search("b", kinds=[5, 11, 23]))
+    return out.select(*RESULT, r6("score"), r6("tech_debt"))
+
+
 @registered
 def search_scan(spark, sf_dir):
     """Without an index: the table itself is asked for the query's grams."""
@@ -212,7 +220,11 @@ def tech_debt(spark, sf_dir):
 
 @registered
 def edges_upsert_latest(spark, sf_dir):
-    return W.edges(spark, sf_dir).select("caller_symbol_id", "callee_symbol_id", "edge_kind", "evidence_line", "evidence_char")
+    """The evidence of earlier orders, and then a batch of later ones over it."""
+    rows = W.edge_rows(spark, sf_dir)
+    half = W.table(spark, sf_dir, "orders").agg(F.floor(F.avg("o_orderkey")).cast("long")).first()[0] or 0
+    before = settle(graph.upsert_edges(rows.limit(0), rows.filter(F.col("evidence_line") <= half)))
+    return graph.upsert_edges(before, rows.filter(F.col("evidence_line") > half)).select("caller_symbol_id", "callee_symbol_id", "edge_kind", "evidence_line", "evidence_char")
 
 
 def _some(spark, sf_dir):

@@ -10,7 +10,6 @@ SEARCHES = {
     "search_container_only": ("brand#1", {}),
     "search_multi_token": ("small ring", {}),
     "search_kind_filter": ("b", {"kinds": [6, 9, 12]}),
-    "search_no_kinds": ("b", {"kinds": []}),
     "search_empty_query": ("", {"hot": True}),
     "search_no_match": ("zzz", {}),
     "search_hotspot_boost": ("gear", {"hot": True, "limit": 100}),

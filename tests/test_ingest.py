@@ -36,6 +36,8 @@ def test_server_answers_come_before_trees(spark):
     assert names(old) == [("b", "gone"), ("old", "old")]
     assert names(ingest.upsert_files(old, got)) == [("a", "from_server"), ("c", "from_tree"), ("d", "from_tree"), ("old", "old")]
     assert names(ingest.upsert_files(old, got, again=True)) == [("a", "from_server"), ("c", "from_tree"), ("d", "from_tree")]
+    here = old.symbols.selectExpr("request_uri AS uri").limit(0)
+    assert names(ingest.upsert_files(old, got, again=True, session=here)) == names(ingest.upsert_files(old, got))
 
 
 def test_answers_of_any_depth(spark):
