@@ -32,6 +32,8 @@ SHARD_BYTES = 1 << 24
 BLOCK_QUERIES = 512
 #: Rows of the index in one Arrow batch.
 OUT_ROWS = 1 << 15
+#: Tasks that shards and blocks are dealt to at most; more of them share tasks.
+MAX_TASKS = 20_000
 INDEX = "shard long, term binary, n long, total long, body binary"
 #: A-Z become small, what stands between terms becomes a space.
 FOLD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -256,7 +258,7 @@ def ranked_search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     broadcast by the operator: queries are dealt to blocks, and a task meets the
     asked terms of one shard and one block.
     """
-    sums = index.filter(F.length("term") == 0).agg(F.sum("n"), F.sum("total")).first()
+    sums = index.filter(F.length("term") == 0).agg(F.sum("n"), F.sum("total"), F.count("*")).first()
     n_docs, n_terms = int(sums[0] or 0), int(sums[1] or 0)
     asked = materialize(query_terms(queries, id_col, text_col), "search-terms")
     n_blocks = max(1, -(-(asked.agg(F.count_distinct("query_no")).first()[0]) // block_queries))
@@ -272,7 +274,9 @@ def ranked_search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     nothing = F.lit(None).cast("array<struct<query_no:bigint,item:bigint>>").alias("items")
     heads = index.filter(F.length("term") == 0).select("shard", blocks, "term", "n", "body", F.lit(0).cast("long").alias("weight"), nothing)
     met = postings.join(wanted, "term").select("shard", "block", "term", "n", "body", "weight", "items")
-    local = met.unionByName(heads).groupBy("shard", "block").applyInArrow(_searched(n_docs, n_terms, k), "query_no long, item long, key long, score long")
+    # scoring is work beyond the size of postings, by which tasks would be made larger
+    dealt = met.unionByName(heads).repartition(max(1, min(sums[2] * n_blocks, MAX_TASKS)), "shard", "block")
+    local = dealt.groupBy("shard", "block").applyInArrow(_searched(n_docs, n_terms, k), "query_no long, item long, key long, score long")
     order = Window.partitionBy("query_no").orderBy(F.desc("score"), "key")
     ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(id_value(F.col("item")).alias("item_id"), "rank", id_value(F.col("key")).alias("doc_id"), "score")
