@@ -54,7 +54,7 @@ class VersionedTable:
     def upsert(self, batch: DataFrame, writer: str = "", batch_id: int | None = None) -> int | None:
         """Put the versions of ``batch`` (symbol columns and ``seq``) in place; the version committed, or null if nothing was left to do.
 
-        A row without a name ends its URI's symbols. Versions not above the
+        A row without a name ends its URI's symbols; rows without a URI are dropped. Versions not above the
         stored one change nothing. Of equal ids of a URI the first by ``ord``
         counts. A ``batch_id`` not above the last one of this ``writer`` is passed
         over, so that a batch run again does no harm. The driver sees the numbers
@@ -67,7 +67,7 @@ class VersionedTable:
             return None
         mark = {} if batch_id is None else {writer: batch_id}
         columns = [c.split()[0] for c in ROWS.split(", ")]
-        given = latest_versions(batch.select(*columns))
+        given = latest_versions(batch.filter("request_uri IS NOT NULL").select(*columns))
         ended = given.filter("name IS NULL").dropDuplicates(["request_uri"])
         # an end beside symbols of the same version is none
         named = given.filter("name IS NOT NULL")

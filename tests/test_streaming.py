@@ -26,7 +26,7 @@ def test_versions_decide_across_batches(spark, tmp_path):
     table = VersionedTable(spark, f"file://{tmp_path}/t", parts=4)
     put = lambda *rows, **k: table.upsert(spark.createDataFrame(list(rows), SCHEMA), **k)
     assert table.symbols().count() == 0 and put() is None
-    put(row("a5", "a", 5), row("a5", "a", 5), row("x", "a", 5, 1), row("a4", "a", 4), row("b1", "b", 1), row("n", "n", None))
+    put(row("a5", "a", 5), row("a5", "a", 5), row("x", "a", 5, 1), row("a4", "a", 4), row("b1", "b", 1), row("n", "n", None), ("", "lost", *row("x", "x", 9)[2:13], None, 0, 9))
     assert names(table) == [("a", "a5"), ("a", "x"), ("b", "b1"), ("n", "n")]
     before = table.log.latest()[1]["files"]
     assert put(row("a3", "a", 3), row("late", "a", 5), row("n", "n", None)) is None  # older or equal: nothing is written
