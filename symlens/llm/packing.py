@@ -40,7 +40,7 @@ class FileBPE:
     A vocabulary determines its merges if its ids follow their order and the
     library gives every token for its own bytes: two tokens that make up a third
     then never meet, but by the listed merge. The byte-pair code of rank files
-    then gives the library's ids in a third of the time, and is used where a file
+    then gives the library's ids in a quarter of the time, and is used where a file
     passes that test. Others are encoded by the library.
     """
 
