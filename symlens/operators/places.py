@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from symlens.functions.schema import COMPUTABLE_KINDS
 from symlens.operators import metrics
-from symlens.operators.intervals import contains_join
+from symlens.operators.intervals import BLOCK, LEVEL, blocks_around, blocks_of, contains_join, levels_of
 from symlens.operators.scan import carried_forward, running_sum
 from symlens.sources.tables import settle
 
@@ -23,14 +23,30 @@ def symbols_at(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """Each of ``points`` (uri, line, char and columns of its own) with the ``symbol_id`` of the shortest symbol around it, by lines and then id.
 
     Both ends of a symbol's range count as within it, as for a cursor. Points
-    without a symbol give no row.
+    without a symbol give no row, repeated ones a single one. Each distinct place
+    is looked up once, and never meets all the symbols around it: the shortest
+    one of each dyadic block of lines is found first.
     """
-    rows = symbols.select("uri", "symbol_id", *metrics.PLACE)
-    met = contains_join(points, rows, ["uri"], "line", "start_line", "end_line")
-    begun = (F.col("start_line") < F.col("line")) | (F.col("start_char") <= F.col("char"))
-    going = (F.col("end_line") > F.col("line")) | (F.col("end_char") >= F.col("char"))
-    shortest = F.min_by("symbol_id", F.struct(F.col("end_line") - F.col("start_line"), F.col("symbol_id")))
-    return met.filter(begun & going).groupBy(*points.columns).agg(shortest.alias("symbol_id"))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    best = F.struct((F.col("end_line") - F.col("start_line")).alias("lines"), F.col("symbol_id")).alias("best")
+    rows = symbols.filter("start_line <= end_line").select("uri", *map(long, metrics.PLACE), best)
+    levels = levels_of(rows, "start_line", "end_line")
+    asked = points.select("uri", "line", "char").filter("line IS NOT NULL").distinct()
+    # the lines between a symbol's first and last: the best one of each block, and a row a place and size of block
+    blocks = rows.select("uri", "best", F.inline(blocks_of(F.col("start_line") + 1, F.col("end_line") - 1, levels))).groupBy("uri", LEVEL, BLOCK).agg(F.min("best").alias("best"))
+    within = asked.select("*", F.inline(blocks_around(F.col("line").cast("long"), levels))).hint("merge").join(blocks.hint("merge"), ["uri", LEVEL, BLOCK])
+    # its first and last line, where characters matter: the best one of each pair of bounds
+    bound = lambda line, low, high: F.struct(F.col(line).alias("line"), low.alias("low"), high.alias("high"))
+    low, high, none = F.col("start_char"), F.col("end_char"), F.lit(None).cast("long")
+    one = F.col("start_line") == F.col("end_line")
+    both = F.array(F.when(one & low.isNotNull() & high.isNotNull(), bound("start_line", low, high)), F.when(~one & low.isNotNull(), bound("start_line", low, none)), F.when(~one & high.isNotNull(), bound("end_line", none, high)))
+    bounds = rows.select("uri", "best", F.inline(F.array_compact(both))).groupBy("uri", "line", "low", "high").agg(F.min("best").alias("best"))
+    beside = asked.hint("merge").join(bounds.hint("merge"), ["uri", "line"]).filter("(low IS NULL OR low <= char) AND (high IS NULL OR high >= char)")
+    columns = ["uri", "line", "char", "best"]
+    shortest = within.select(*columns).unionByName(beside.select(*columns)).groupBy("uri", "line", "char").agg(F.min("best").alias("best"))
+    found = shortest.select(F.col("uri").alias("__uri"), F.col("line").alias("__line"), F.col("char").alias("__char"), "best.symbol_id")
+    same = (F.col("uri") == F.col("__uri")) & (F.col("line") == F.col("__line")) & F.col("char").eqNullSafe(F.col("__char"))
+    return points.distinct().hint("merge").join(found.hint("merge"), same).select(*points.columns, "symbol_id")
 
 
 def innermost_functions(functions: DataFrame, points: DataFrame) -> DataFrame:

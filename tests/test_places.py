@@ -124,3 +124,30 @@ def test_figures_equal_a_walk_up_and_down_the_tree(spark, monkeypatch):
     own = asked.limit(3).withColumn("node_id", F.lit(rows[0][1])).withColumns({"uri": F.lit("f"), "kind": F.lit(12)})
     assert {tuple(x[c] for c in places.FIGURES) for x in places.with_metrics(own, tree).collect()} == {_figures(_tree(random.Random(4), "f"), 0)}
     assert places.with_metrics(asked, tree.limit(0)).filter("cyclomatic_complexity IS NULL").count() == len(symbols)
+
+
+def test_the_symbol_at_each_place_equals_a_look_at_all_symbols(spark, tmp_path):
+    rng = random.Random(5)
+    some = lambda n: rng.choice([None, *range(n)]) if rng.random() < 0.1 else rng.randrange(n)
+    symbols = [(rng.choice("ab"), f"s{i}", some(20), some(4), some(24), some(4)) for i in range(120)]
+    points = [(i % 55, rng.choice("abc"), some(26), some(5)) for i in range(60)]
+    points += points[:5]  # repeated rows are one
+
+    def holds(s, p):
+        (uri, _, a, b, c, d), (_, file, line, char) = s, p
+        if uri != file or None in (a, c, line) or not a <= line <= c:
+            return False
+        return (a < line or None not in (b, char) and b <= char) and (c > line or None not in (d, char) and d >= char)
+
+    want = {(*p, min((s[4] - s[2], s[1]) for s in symbols if holds(s, p))[1]) for p in points if any(holds(s, p) for s in symbols)}
+    table = spark.createDataFrame(symbols, "uri string, symbol_id string, start_line long, start_char long, end_line long, end_char long")
+    at = spark.createDataFrame(points, "id long, uri string, line long, char long")
+    out = places.symbols_at(at, table)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want and want
+    # nothing that grows with the tables goes to the driver, and no pair of a place and a symbol around it is made
+    path = f"file://{tmp_path}"
+    table.write.parquet(f"{path}/s")
+    at.write.parquet(f"{path}/p")
+    plan = places.symbols_at(spark.read.parquet(f"{path}/p"), spark.read.parquet(f"{path}/s"))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
