@@ -58,14 +58,14 @@ def symbol_metrics(nodes: DataFrame) -> DataFrame:
     their bounds: linear in the nodes, where pairs of ancestors would not be.
     """
     root = nodes.groupBy("symbol_id").agg(F.min("lft").alias("top"), F.min_by(F.struct("start_line", "end_line"), "lft").alias("lines"))
-    inner = nodes.join(root.select("symbol_id", "top"), "symbol_id").filter("lft > top")
+    inner = nodes.join(root.select("symbol_id", "top").hint("merge"), "symbol_id").filter("lft > top")
     points = F.when(is_decision(F.col("lang"), F.col("type")), 1).otherwise(0) + F.when(is_logic(F.col("lang"), F.col("type"), F.coalesce("operators", F.array().cast("array<string>"))), 1).otherwise(0)
     decided = inner.groupBy("symbol_id").agg(F.sum(points).alias("points"))
     bounds = inner.filter(F.col("type").isin(*NESTING)).select("symbol_id", F.explode(F.array(F.struct(F.col("lft").alias("at"), F.lit(1).alias("step")), F.struct(F.col("rgt").alias("at"), F.lit(-1).alias("step")))).alias("b"))
     # at one place nodes close before others open
     open_now = F.sum("b.step").over(Window.partitionBy("symbol_id").orderBy("b.at", "b.step").rowsBetween(Window.unboundedPreceding, 0))
     depth = bounds.select("symbol_id", open_now.alias("open")).groupBy("symbol_id").agg(F.max("open").alias("depth"))
-    out = root.join(decided, "symbol_id", "left").join(depth, "symbol_id", "left")
+    out = root.join(decided.hint("merge"), "symbol_id", "left").join(depth.hint("merge"), "symbol_id", "left")
     return out.select(
         "symbol_id",
         (1 + F.coalesce("points", F.lit(0))).cast("long").alias("cyclomatic_complexity"),

@@ -79,7 +79,7 @@ def node_metrics(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Only nodes that count are joined with the nodes that hold them.
     """
-    own = nodes.join(wanted.select("file", "node_id").distinct(), ["file", "node_id"], "left_semi")
+    own = nodes.join(wanted.select("file", "node_id").distinct().hint("merge"), ["file", "node_id"], "left_semi")
     key = F.struct("file", "node_id").alias("symbol_id")
     columns = ["lang", "type", "operators", "lft", "rgt", "start_line", "end_line"]
     counted = metrics.is_decision(F.col("lang"), F.col("type")) | metrics.is_logic(F.col("lang"), F.col("type"), F.coalesce("operators", F.array().cast("array<string>"))) | F.col("type").isin(*metrics.NESTING)
@@ -101,6 +101,7 @@ def with_metrics(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
     able = F.col("kind").isin(*COMPUTABLE_KINDS)
     given = "node_id" in symbols.columns
     start = symbols.filter(able & F.col("node_id").isNull() if given else able)
+    # none of these tables grows slower than the symbols, whatever their files' sizes say: no side is broadcast
     functions = nodes.filter(metrics.is_function(F.col("type"))).select("file", "node_id", "lft", *metrics.PLACE)
     inner = settle(innermost_functions(functions, start.select(F.col("uri").alias("file"), F.col("start_line").alias("line"), F.col("start_char").alias("char"))))
     around = inner.select(F.col("file").alias("uri"), F.col("line").alias("start_line"), F.col("char").alias("start_char"), F.col("node_id").alias("__around"))
@@ -108,7 +109,7 @@ def with_metrics(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
     if given:
         wanted = wanted.union(symbols.filter(able & F.col("node_id").isNotNull()).select("uri", "node_id"))
     figures = node_metrics(nodes, wanted).select(F.col("file").alias("uri"), F.col("node_id").alias("__node"), *FIGURES)
-    rows = symbols.select(*columns).join(around, ["uri", "start_line", "start_char"], "left")
+    rows = symbols.select(*columns).join(around.hint("merge"), ["uri", "start_line", "start_char"], "left")
     node = F.coalesce("node_id", "__around") if given else F.col("__around")
-    rows = rows.withColumn("__node", F.when(able, node)).join(figures, ["uri", "__node"], "left")
+    rows = rows.withColumn("__node", F.when(able, node)).join(figures.hint("merge"), ["uri", "__node"], "left")
     return rows.select(*columns, *FIGURES)

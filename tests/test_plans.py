@@ -1,6 +1,6 @@
 """Plans that must not grow in the driver: what they read, and that nothing is broadcast for its file's size."""
 
-from symlens.operators import store
+from symlens.operators import places, store
 
 
 def _plan(df):
@@ -16,3 +16,13 @@ def test_a_snapshot_of_a_root_reads_the_edges_once(spark, tmp_path):
     plan = _plan(edges)
     assert plan.count("/edges") == 1 and "Broadcast" not in plan
     assert sorted(map(str, edges.collect())) == sorted(f"Row(caller_symbol_id={a!r}, callee_symbol_id={b!r}, edge_kind={k!r})" for a, b, k in [("a", "b", "call"), ("a", "x", "call"), ("x", "b", "import"), (None, "a", "call")])
+
+
+def test_figures_broadcast_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    node = "file string, node_id string, lang string, type string, operators array<string>, lft long, rgt long, start_line long, start_char long, end_line long, end_char long"
+    spark.createDataFrame([("u", "n", "lua", "function_declaration", [], 0, 5, 0, 0, 9, 9), ("u", "i", "lua", "if_statement", [], 1, 2, 3, 0, 4, 0)], node).write.parquet(f"{path}/nodes")
+    spark.createDataFrame([("s", "u", 12, 2, 0), ("t", "u", 5, 2, 0)], "symbol_id string, uri string, kind long, start_line long, start_char long").write.parquet(f"{path}/symbols")
+    out = places.with_metrics(spark.read.parquet(f"{path}/symbols"), spark.read.parquet(f"{path}/nodes"))
+    assert sorted((r.symbol_id, r.cyclomatic_complexity, r.lines_of_code, r.nesting_depth) for r in out.collect()) == [("s", 2, 10, 1), ("t", None, None, None)]
+    assert "Broadcast" not in _plan(out)
